@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.packing import op10_best_fit_packing
+from quarry.llm.tokenstore import op7_token_id_store
 from quarry.llm.simhash import op1_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_token_id_store": op7_token_id_store,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
 }
