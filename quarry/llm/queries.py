@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.packing import op10_best_fit_packing
 from quarry.llm.tokenstore import op7_token_id_store
+from quarry.llm.decontam import OP6_SQL, op6_benchmark_decontamination
 from quarry.llm.simhash import op1_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_token_id_store": op7_token_id_store,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_benchmark_decontamination": OP6_SQL,
+}
