@@ -10,9 +10,11 @@ from quarry.llm.packing import op10_best_fit_packing
 from quarry.llm.tokenstore import op7_token_id_store
 from quarry.llm.decontam import OP6_SQL, op6_benchmark_decontamination
 from quarry.llm.toxicity import op2_toxicity
+from quarry.llm.media import op4_media_columns
 from quarry.llm.simhash import op1_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_media_columns": op4_media_columns,
     "op2_toxicity": op2_toxicity,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_token_id_store": op7_token_id_store,
