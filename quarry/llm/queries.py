@@ -11,9 +11,11 @@ from quarry.llm.tokenstore import op7_token_id_store
 from quarry.llm.decontam import OP6_SQL, op6_benchmark_decontamination
 from quarry.llm.toxicity import op2_toxicity
 from quarry.llm.media import op4_media_columns
+from quarry.llm.urlfilter import OP3_SQL, op3_url_filters
 from quarry.llm.simhash import op1_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filters": op3_url_filters,
     "op4_media_columns": op4_media_columns,
     "op2_toxicity": op2_toxicity,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
@@ -23,5 +25,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_filters": OP3_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
 }
