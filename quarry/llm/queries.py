@@ -12,9 +12,11 @@ from quarry.llm.decontam import OP6_SQL, op6_benchmark_decontamination
 from quarry.llm.toxicity import op2_toxicity
 from quarry.llm.media import op4_media_columns
 from quarry.llm.urlfilter import OP3_SQL, op3_url_filters
+from quarry.llm.chat import OP9_SQL, op9_chat_formatting
 from quarry.llm.simhash import op1_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_chat_formatting": op9_chat_formatting,
     "op3_url_filters": op3_url_filters,
     "op4_media_columns": op4_media_columns,
     "op2_toxicity": op2_toxicity,
@@ -25,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_chat_formatting": OP9_SQL,
     "op3_url_filters": OP3_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
 }
