@@ -13,9 +13,11 @@ from quarry.llm.toxicity import op2_toxicity
 from quarry.llm.media import op4_media_columns
 from quarry.llm.urlfilter import OP3_SQL, op3_url_filters
 from quarry.llm.chat import OP9_SQL, op9_chat_formatting
+from quarry.llm.warc import OP8_SQL, op8_warc
 from quarry.llm.simhash import op1_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
     "op3_url_filters": op3_url_filters,
     "op4_media_columns": op4_media_columns,
@@ -27,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_warc": OP8_SQL,
     "op9_chat_formatting": OP9_SQL,
     "op3_url_filters": OP3_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
