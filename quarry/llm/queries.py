@@ -14,9 +14,11 @@ from quarry.llm.media import op4_media_columns
 from quarry.llm.urlfilter import OP3_SQL, op3_url_filters
 from quarry.llm.chat import OP9_SQL, op9_chat_formatting
 from quarry.llm.warc import OP8_SQL, op8_warc
+from quarry.llm.langid import op5_language_id
 from quarry.llm.simhash import op1_simhash_near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_language_id": op5_language_id,
     "op8_warc": op8_warc,
     "op9_chat_formatting": op9_chat_formatting,
     "op3_url_filters": op3_url_filters,
