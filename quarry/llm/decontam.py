@@ -224,6 +224,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     return out.drop("uid").withColumnRenamed("id", id_col)
 
 
+def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs (all columns) that hold no window of an item."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return contamination(rows, items, id_col="row").filter(F.size("spans") == 0).select("row.*")
+
+
 def digested(found: DataFrame) -> DataFrame:
     """Counts and a checksum in place of spans and items."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])

@@ -214,6 +214,22 @@ def fit(texts_of: dict[str, list[str]], seed: int = 3, steps: int = 900) -> tupl
     return (train(pools, steps) if langs else None), langs
 
 
+def labelled(docs: DataFrame, model: tuple[Network | None, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id (of any type, even a struct of a whole row), lang_pred, score. A null text or one without a
+    letter is `und` with score 0, as is every text if nothing could be learned."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(*shared.value)
+        for b in batches:
+            found = labeller.label(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["id", "lang_pred", "score"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+
+
 def language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of docs: id, held_out, lang_pred, score.
 
@@ -221,18 +237,14 @@ def language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     learned. Rows whose lang is null teach nothing. A null id belongs to the fold of the empty text.
     Repeated rows stay repeated; other columns are ignored.
     """
-    net, langs = fit(sample(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))))
-    shared = docs.sparkSession.sparkContext.broadcast((net, langs))
-    kind = docs.schema[id_col].dataType.simpleString()
+    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    return labelled(docs, fit(sample(known)), id_col, text_col).withColumn("held_out", fold(F.col(id_col), FOLDS) == HELD_OUT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(*shared.value)
-        for b in batches:
-            found = labeller.label(b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["id", "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).alias("id"), (fold(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of docs (all columns) in a language that could be told."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return labelled(rows, fit(sample(docs)), "row").filter(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

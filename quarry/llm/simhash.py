@@ -212,5 +212,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(F.col("__id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """One row of docs (all columns) for each component: that of the smallest doc_id (null last), of
+    equal ids the first in reading order. Read docs from a table: rows are told apart by their place."""
+    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
+    found = near_duplicates(rows, "__uid", words=words, distance=distance).select("__uid", "component_id")
+    found = found.join(rows.select("__uid", "doc_id"), "__uid")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid"))["__uid"]
+    kept = found.groupBy("component_id").agg(F.count("*").alias("n"), first.alias("kept")).filter("n > 1")
+    gone = written(found.join(kept, "component_id").filter("__uid <> kept").select("__uid"), "gone")
+    return rows.join(gone, "__uid", "left_anti").drop("__uid")
+
+
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(tune(spark), sf_dir, "documents"))

@@ -64,7 +64,7 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
             z = np.bincount(sent, w[x], len(doc)) + bias
             soft = np.logaddexp(0, z)
             none = np.exp(-np.bincount(doc, soft, len(part)))  # no sentence offends
-            p = 1 / (1 + np.exp(-z))
+            p = np.exp(z - soft)
             factor = np.where(y[part] > 0, -weights[1] * none / np.maximum(1 - none, 1e-6), weights[0])
             dz = p * factor[doc]
             gw, gb = np.bincount(x, dz[sent], BUCKETS), dz.sum()
@@ -126,32 +126,43 @@ def sample(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> tuple[
     return [r["text"] for r in rows], [int(r["toxic"]) for r in rows], (share[0] / least, share[1] / least)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
-    """One row per row of docs: id, held_out, score, predicted and, with spans, the sentences that offend.
-
-    Labels of the held-out fold are never read. A null or empty text has no sentences and scores 0.
-    Without labels of both kinds the fit stays at its bias, under 0.5 for short texts. Labels that
-    contradict each other count as toxic. A null id is held out or not by the empty text. Repeated rows
-    stay repeated; other columns are ignored.
-    """
-    model = fit(*sample(docs.withColumnRenamed(id_col, "doc_id"), labels, text_col))
+def scored(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
+    """id (of any type, even a struct of a whole row), score, predicted and, with spans, the sentences
+    that offend. A null or empty text has no sentences and scores 0."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shape = f"id {kind}, held_out boolean, score double" + ", spans array<struct<first:int,end:int,p:double>>" * spans
+    shape = f"id {kind}, score double" + ", spans array<struct<first:int,end:int,p:double>>" * spans
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
         for b in batches:
-            texts = b.column(2).to_pylist()
-            cols = [b.column(0), b.column(1), pa.array([scorer.score(x) for x in texts], pa.float64())]
+            texts = b.column(1).to_pylist()
+            cols = [b.column(0), pa.array([scorer.score(x) for x in texts], pa.float64())]
             if spans:
                 cols.append(pa.array([scorer.locate(x) for x in texts], span_type))
-            yield pa.RecordBatch.from_arrays(cols, ["id", "held_out", "score", "spans"][: len(cols)])
+            yield pa.RecordBatch.from_arrays(cols, ["id", "score", "spans"][: len(cols)])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, shape).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0)).withColumnRenamed("id", id_col)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
+    """One row per row of docs: id, held_out, score, predicted and, with spans, the sentences that offend.
+
+    Labels of the held-out fold are never read. A null or empty text scores 0. Without labels of both
+    kinds the fit stays near its bias, under 0.5 for short texts. Labels that contradict each other
+    count as toxic. A null id is held out or not as the empty text is. Repeated rows stay repeated;
+    other columns are ignored.
+    """
+    model = fit(*sample(docs.withColumnRenamed(id_col, "doc_id"), labels, text_col))
+    return scored(docs, model, id_col, text_col, spans).withColumn("held_out", fold(F.col(id_col), FOLDS) == 0)
+
 
-    rows = docs.select(F.col(id_col).alias("id"), (fold(F.col(id_col), FOLDS) == 0).alias("held_out"), F.col(text_col).alias("text"))
-    got = rows.mapInArrow(run, shape).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
-    return got.withColumnRenamed("id", id_col)
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs (all columns) that are not predicted toxic."""
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    return scored(rows, fit(*sample(docs, labels)), "row").filter("predicted = 0").select("row.*")
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
