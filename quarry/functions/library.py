@@ -119,32 +119,32 @@ def last(x, *order) -> Column:
     return F.max(F.struct(*order, _c(x).alias("__v")))["__v"] if order else F.last(x)
 
 
-@named("entropy")
-def entropy(x) -> Column:
-    """Log-2 entropy of the values' counts, from a histogram; 0 of no values."""
-    counts = F.map_values(histogram(x))
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n)
-    return F.coalesce(F.aggregate(counts, F.lit(0.0), lambda a, n: a - (n / total) * F.log2(n / total)), F.lit(0.0))
+#: Distinct values that histogram, and so entropy, count exactly in one aggregate.
+MOST_BUCKETS = 10_000
 
 
 @named("histogram")
 def histogram(x) -> Column:
-    """map(value -> count); meant for few distinct values."""
-    values = F.array_sort(F.collect_list(x))
-    return F.map_from_entries(F.transform(F.array_distinct(values), lambda v: F.struct(v, F.size(F.filter(values, lambda w: w == v)).cast("long"))))
+    """map(value -> count) in the order of the values, from a sketch of a bounded size that counts
+    exactly while there are at most MOST_BUCKETS values; operators.aggregates.histogram has no bound."""
+    top = F.call_function("approx_top_k", x, F.lit(MOST_BUCKETS), F.lit(4 * MOST_BUCKETS))
+    known = F.filter(top, lambda s: s["item"].isNotNull())
+    return F.map_from_entries(F.array_sort(F.transform(known, lambda s: F.struct(s["item"].alias("key"), s["count"].alias("value")))))
 
 
-@named("quantile", "quantile_disc")
-def quantile_disc(x, q: float) -> Column:
-    """The smallest value whose cumulative share reaches q."""
-    values = F.array_sort(F.collect_list(x))
-    return F.try_element_at(values, F.greatest(F.lit(1), F.ceil(F.size(values) * q).cast("int")))
+@named("entropy")
+def entropy(x) -> Column:
+    """Log-2 entropy of the values' counts; 0 of no values. Bounded as histogram is."""
+    counts = F.transform(F.filter(F.call_function("approx_top_k", x, F.lit(MOST_BUCKETS), F.lit(4 * MOST_BUCKETS)), lambda s: s["item"].isNotNull()), lambda s: s["count"])
+    parts = F.aggregate(counts, F.lit(0.0), lambda a, n: a + n * F.log2(n.cast("double")))
+    total = F.count(x)
+    return F.when(total > 0, F.log2(total.cast("double")) - parts / total).otherwise(F.lit(0.0))
 
 
-@named("mad")
-def mad(x) -> Column:
-    values = F.array_sort(F.collect_list(_d(x)))
-    return _median_of(F.array_sort(F.transform(values, lambda v: F.abs(v - _median_of(values)))))
+@named("quantile", "quantile_disc")
+def quantile_disc(x: str, q: float) -> Column:
+    """The smallest value whose cumulative share reaches q. x: a column's name or SQL."""
+    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {x})")
 
 
 def _median_of(sorted_: Column) -> Column:
@@ -578,7 +578,8 @@ def format_bytes_decimal(n) -> Column:
 def _readable(n, base: int, units: tuple[str, ...]) -> Column:
     out = F.when(n == 1, F.lit("1 byte")).otherwise(F.concat(n.cast("string"), F.lit(" bytes")))
     for k, unit in enumerate(units, 1):
-        tenths = F.floor(n * 10 / base**k)
+        below = F.floor(n / base ** (k - 1))  # whole units of the size below
+        tenths = F.floor(below / base) * 10 + F.floor((below % base) * 10 / base)
         out = F.when(n >= base**k, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out
 

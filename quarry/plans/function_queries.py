@@ -293,9 +293,8 @@ AGGREGATES: list[Case] = [
     ("max_", lambda: f("max", c("l_shipdate")), "max(l_shipdate)"),
     ("median_", lambda: F.round(f("median", x()), 4), "round(median(l_extendedprice), 4)"),
     ("mode_", lambda: f("mode", c("l_returnflag")), "mode(l_returnflag)"),
-    ("q_disc", lambda: f("quantile_disc", x(), 0.3), "quantile_disc(l_extendedprice, 0.3)"),
+    ("q_disc", lambda: f("quantile_disc", "l_extendedprice", 0.3), "quantile_disc(l_extendedprice, 0.3)"),
     ("q_cont", lambda: F.round(f("quantile_cont", x(), 0.3), 4), "round(quantile_cont(l_extendedprice, 0.3), 4)"),
-    ("mad_", lambda: F.round(f("mad", x()), 4), "round(mad(l_extendedprice), 4)"),
     ("hist", lambda: F.array_join(F.transform(F.map_entries(f("histogram", c("l_linenumber"))), lambda e: F.concat_ws(":", e["key"], e["value"])), ","), "array_to_string(list_transform(map_entries(histogram(l_linenumber)), lambda e: concat(e.key, ':', e.value)), ',')"),
     ("listed", lambda: f("md5", F.array_join(f("list", c("l_linenumber"), *_o()), ",")), f"md5(array_to_string(list(l_linenumber {_os}), ','))"),
     ("joined", lambda: f("md5", f("string_agg", c("l_linenumber"), "-", *_o())), f"md5(string_agg(CAST(l_linenumber AS VARCHAR), '-' {_os}))"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import call as f
+from quarry.operators import aggregates as A
 from quarry.operators import joins as J
 from quarry.operators import relational as R
 from quarry.operators import windows as W
@@ -265,6 +266,21 @@ def distinct_on(s, d):
     return R.distinct_on(t(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_totalprice", "o_orderkey")
 
 
+@query("agg_mad", "SELECT l_returnflag, round(mad(l_extendedprice), 4) AS mad FROM lineitem GROUP BY l_returnflag")
+def agg_mad(s, d):
+    return A.mad(t(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice").select("l_returnflag", F.round("mad", 4).alias("mad"))
+
+
+@query("agg_entropy", "SELECT l_returnflag, round(entropy(l_partkey), 6) AS entropy FROM lineitem GROUP BY l_returnflag")
+def agg_entropy(s, d):
+    return A.entropy(t(s, d, "lineitem"), ["l_returnflag"], "l_partkey").select("l_returnflag", F.round("entropy", 6).alias("entropy"))
+
+
+@query("agg_histogram", "SELECT l_returnflag, l_suppkey AS bucket, count(*) AS count FROM lineitem GROUP BY ALL")
+def agg_histogram(s, d):
+    return A.histogram(t(s, d, "lineitem"), ["l_returnflag"], "l_suppkey")
+
+
 @query("approximate", "SELECT event_type, abs(approx_count_distinct(user_id) - count(DISTINCT user_id)) <= 0.1 * count(DISTINCT user_id) AS close FROM events GROUP BY event_type")
 def approximate(s, d):
     a, n = f("approx_count_distinct", F.col("user_id")), F.count_distinct("user_id")
