@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning.
 
-Labels belong to documents, the cause to sentences. A sentence's score is a logistic function of
+Labels belong to documents, the cause to sentences; one of over SPAN words counts as several. A sentence's score is a logistic function of
 the weights of its words (the word and its beginnings, hashed), a document's is the noisy-or of its
 sentences: 1 - prod(1 - p). Both are trained together from document labels, after which sentence
 scores tell where the offence is.
@@ -26,6 +26,7 @@ from quarry.llm.common import fold, table, tune
 BUCKETS, BEGINNINGS = 1 << 18, (4, 5, 6)
 MOST_OF_CLASS, TRAIN_CHARS = {1: 2500, 0: 5000}, 50_000
 FOLDS = 5
+SPAN = 40
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 500_000
@@ -37,17 +38,24 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
 
 
+def instances(text: str | None) -> list[list[str]]:
+    """Distinct lower-case words of each sentence that has any, of at most SPAN words in a row."""
+    found = map(_WORD.findall, _SENTENCE.findall((text or "").lower()))
+    return [list(dict.fromkeys(words[k : k + SPAN])) for words in found for k in range(0, len(words), SPAN)]
+
+
 class _Features(dict):
     def __missing__(self, word: str) -> list[int]:
         self[word] = f = features(word)
         return f
 
 
-def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), epochs: int = 14, rate: float = 0.3, l2: float = 1e-5, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights of the hash buckets and the bias. weights: of a document of class 0 and of class 1."""
+def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), epochs: int = 28, rate: float = 0.6, l2: float = 1e-4, least: float = 0.3, pace: float = 0.3, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Weights of the hash buckets and the bias. weights: of a document of class 0 and of class 1.
+    pace: the rate of the bias. Weights under `least` are dropped: in a long text they add up to noise."""
     known, ids, words_of, sents_of = _Features(), [], [], []
     for text in texts:
-        sents = [f for s in _SENTENCE.findall(text.lower()) if (f := [x for w in _WORD.findall(s) for x in known[w]])]
+        sents = [[x for w in words for x in known[w]] for words in instances(text)]
         ids.append(np.array([x for s in sents for x in s], np.int32))
         words_of.append(np.array([len(s) for s in sents], np.int32))
         sents_of.append(len(sents))
@@ -72,8 +80,8 @@ def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0
             g2 += gw * gw
             b2 += gb * gb
             w -= rate * gw / np.sqrt(g2)
-            bias = min(-3.0, bias - 0.05 * gb / np.sqrt(b2))
-    return w.astype(np.float32), float(bias)
+            bias = min(-3.0, bias - pace * gb / np.sqrt(b2))
+    return np.where(np.abs(w) < least, 0, w).astype(np.float32), float(bias)
 
 
 class Scorer:
@@ -91,9 +99,8 @@ class Scorer:
 
     def sentences(self, text: str | None) -> np.ndarray:
         """Logits of the sentences that have words."""
-        get, find = self._weight, _WORD.findall
-        sums = [sum(map(get, words)) for s in _SENTENCE.findall((text or "").lower()) if (words := find(s))]
-        return np.array(sums, np.float64) + self.bias
+        get = self._weight
+        return np.array([sum(map(get, words)) for words in instances(text)], np.float64) + self.bias
 
     def score(self, text: str | None) -> float:
         return float(-np.expm1(-np.logaddexp(0, self.sentences(text)).sum()))
@@ -102,10 +109,13 @@ class Scorer:
         """Sentences (character positions in the text) that offend with probability `least` or more."""
         out, text = [], text or ""
         for m in _SENTENCE.finditer(text):
-            if words := _WORD.findall(m[0].lower()):
-                p = float(1 / (1 + np.exp(-(sum(map(self._weight, words)) + self.bias))))
-                if p >= least:
-                    out.append({"first": m.start(), "end": m.end(), "p": p})
+            words = list(_WORD.finditer(m[0]))
+            for k in range(0, len(words), SPAN):
+                part = words[k : k + SPAN]
+                z = sum(map(self._weight, {w[0].lower() for w in part})) + self.bias
+                if (p := float(np.exp(-np.logaddexp(0, -z)))) >= least:
+                    first = m.start() + (part[0].start() if k else 0)
+                    out.append({"first": first, "end": m.start() + part[-1].end() if k + SPAN < len(words) else m.end(), "p": p})
         return out
 
 
