@@ -1,4 +1,4 @@
-"""Every query of the engine by name, with the DuckDB SQL that gives the same rows."""
+"""Every query of the engine by name, with SQL that gives the same rows elsewhere."""
 
 from __future__ import annotations
 

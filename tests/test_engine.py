@@ -1,4 +1,4 @@
-"""Every registered query against the same rows by DuckDB, and the operators' edge cases."""
+"""Every registered query against the oracle's rows, and the operators' edge cases."""
 
 import importlib
 
