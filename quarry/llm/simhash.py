@@ -214,14 +214,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """One row of docs (all columns) for each component: that of the smallest doc_id (null last), of
-    equal ids the first in reading order. Read docs from a table: rows are told apart by their place."""
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
-    found = near_duplicates(rows, "__uid", words=words, distance=distance).select("__uid", "component_id")
-    found = found.join(rows.select("__uid", "doc_id"), "__uid")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__uid"))["__uid"]
-    kept = found.groupBy("component_id").agg(F.count("*").alias("n"), first.alias("kept")).filter("n > 1")
-    gone = written(found.join(kept, "component_id").filter("__uid <> kept").select("__uid"), "gone")
-    return rows.join(gone, "__uid", "left_anti").drop("__uid")
+    equal ids the first in reading order. Read docs from a table: rows are told apart by their place.
+
+    Rows are named by (doc_id is null, doc_id, place), so a component's name is the name of its kept row."""
+    place = F.monotonically_increasing_id()
+    rows = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), place.alias("place")))
+    found = near_duplicates(rows, "__row", words=words, distance=distance)
+    gone = written(found.filter(F.col("__row.place") != F.col("component_id.place")).select(F.col("__row.place").alias("__place")), "gone")
+    rows = docs.withColumn("__place", F.monotonically_increasing_id())
+    return rows.join(gone, "__place", "left_anti").drop("__place")
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
