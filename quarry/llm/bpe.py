@@ -11,11 +11,13 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-_OTHER = re.compile("[^\t\n\r\x20-\x7e\xa1-\xff]")
+_ALPHABET = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x100)])
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\r "
 _CONTRACTED = "'(?:s|t|re|ve|m|ll|d)"
 #: A leading space stays with its word; a run of white space leaves its last sign to what follows.
@@ -23,7 +25,15 @@ _WITH_SPACE = re.compile(f" ?[{_L}]+|{_CONTRACTED}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|
 #: White space dropped, digits one by one.
 _NO_SPACE = re.compile(f"[{_L}]+|{_CONTRACTED}|[{_N}]|[^{_S}{_L}{_N}]+")
 #: Characters held in the memo at most, at some 64 more for each entry.
-MEMO_CHARS = 40_000_000
+MEMO_CHARS = 34_000_000
+
+
+def _known(text: str) -> bool:
+    """Whether all of a text is in the alphabet."""
+    try:
+        return not text.encode("latin-1").translate(None, _ALPHABET)
+    except UnicodeEncodeError:
+        return False
 
 
 def default_path(name: str) -> str:
@@ -35,6 +45,33 @@ def default_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _byte_signs() -> dict[int, int]:
+    """Byte-level BPE writes each byte as one printable sign: itself if printable, else one from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return {b: b if b in plain else next(rest) for b in range(256)}
+
+
+class _Memo(dict):
+    """Pre-token -> its ids' bytes, asked of the library's model once."""
+
+    def __init__(self, tokenize, chars: int) -> None:
+        super().__init__()
+        self.tokenize, self.signs, self.chars = tokenize, _byte_signs(), chars
+        self.room = chars
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.tokenize(piece.encode().decode("latin-1").translate(self.signs))
+        self[piece] = ids = array("I", [t.id for t in found]).tobytes()
+        self.room -= len(piece) + 64
+        return ids
+
+    def trim(self) -> None:
+        if self.room < 0:
+            self.clear()
+            self.room = self.chars
+
+
 class Encoder:
     """encode(texts) -> for each text its ids and then end_id, as little-endian unsigned 32-bit integers.
 
@@ -47,17 +84,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.end, self.memo_chars = np.array([end_id], "<u4").tobytes(), memo_chars
+        self.end = np.array([end_id], "<u4").tobytes()
         with open(path, encoding="utf-8") as f:
             shape = json.load(f)
         self.pieces, self.lower = self._splitter(shape)
-        self._reset()
+        self.memo = _Memo(self.tokenizer.model.tokenize, memo_chars)
 
     @staticmethod
     def _splitter(shape: dict):
         """The splitting pattern of a vocabulary of a known form, else none: then the library does it all."""
         pre, normal = shape.get("pre_tokenizer") or {}, shape.get("normalizer")
-        if shape.get("post_processor") or shape.get("truncation") or shape.get("padding"):
+        if shape.get("post_processor") or shape.get("truncation") or shape.get("padding") or sys.byteorder != "little":
             return None, False
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and normal is None:
             return _WITH_SPACE.findall, False
@@ -67,27 +104,16 @@ class Encoder:
             return _NO_SPACE.findall, True
         return None, False
 
-    def _reset(self) -> None:
-        self.memo: dict[str, bytes] = {}
-        self.room = self.memo_chars
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         for text in texts:
             text = text or ""
-            if self.pieces is None or _OTHER.search(text):
-                out.append(self._library([text])[0] + self.end)
+            if self.pieces is None or not _known(text):
+                (whole,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+                out.append(np.array(whole.ids, "<u4").tobytes() + self.end)
                 continue
+            self.memo.trim()
             pieces = self.pieces(text.lower() if self.lower else text)
-            if self.room < 0:
-                self._reset()
-            if new := set(pieces).difference(self.memo):
-                new = list(new)
-                self.memo.update(zip(new, self._library(new), strict=True))
-                self.room -= sum(map(len, new)) + 64 * len(new)
             out.append(b"".join(map(self.memo.__getitem__, pieces)) + self.end)
         return out
 

@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,17 +38,20 @@ LEAST, ABOUT, MOST = 64, 512, 4096
 _SENT = 200_000
 
 
-def cuts(ids: np.ndarray, least: int = LEAST, about: int = ABOUT, most: int = MOST) -> list[int]:
-    """Ends of the chunks of `ids`, the last being its length."""
+def marks(ids: np.ndarray, about: int = ABOUT) -> np.ndarray:
+    """Where a chunk may end: a hash of the last 16 ids has a certain remainder."""
     h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     h = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
-    for step in (1, 2, 4, 8):  # after these, h[i] depends on the last 16 ids
-        moved = np.zeros_like(h)
-        moved[step:] = h[:-step]
-        h = h + (moved << np.uint64(step))
-    ends, last, n = [], 0, len(ids)
-    marks = np.flatnonzero((h >> np.uint64(20)) % np.uint64(about) == 0) + 1
-    for m in [*marks.tolist(), n]:
+    for step in (1, 2, 4, 8):
+        h[step:] += h[:-step] << np.uint64(step)
+    return np.flatnonzero((h >> np.uint64(20)) & np.uint64(about - 1) == 0) + 1
+
+
+def cuts(found: list[int], n: int, least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of n ids, the last being n. Marks before the 16th id count for nothing, as
+    chunks are longer, so marks may be found over many documents in a row."""
+    ends, last = [], 0
+    for m in [*found, n]:
         while m - last > most:
             last += most
             ends.append(last)
@@ -71,8 +75,9 @@ def digest(body: bytes) -> bytes:
 
 
 def merkle(leaves: list[bytes]) -> bytes:
-    """Leaves and inner nodes are told apart by a first byte; an odd node moves up alone."""
-    level = [hashlib.blake2b(b"\0" + x, digest_size=16).digest() for x in leaves] or [bytes(16)]
+    """Leaves are digests of chunks, whose first byte is 2 or 4, inner nodes start with 1; an odd node
+    moves up alone."""
+    level = leaves or [bytes(16)]
     while len(level) > 1:
         up = [hashlib.blake2b(b"\1" + a + b, digest_size=16).digest() for a, b in zip(level[::2], level[1::2], strict=False)]
         level = up + ([level[-1]] if len(level) % 2 else [])
@@ -104,7 +109,7 @@ def crc32_joined(parts: list[tuple[int, int]]) -> int:
     """crc32 of byte strings in a row from (crc32, length) of each."""
     crc = 0
     for c, n in parts:
-        crc = _times(_shift(n), crc) ^ c
+        crc = c ^ (_times(_shift(n), crc) if crc else 0)
     return crc
 
 
@@ -113,10 +118,15 @@ def _chunked(path: str, end_id: int):
         enc, sent = encoder(path, end_id), set()
         for b in batches:
             at, ks, keys, names, ns, bodies = [], [], [], [], [], []
-            for i, raw in enumerate(enc.encode(b.column(2).to_pylist())):
-                ids, last = np.frombuffer(raw, "<u4"), 0
-                for k, end in enumerate(cuts(ids)):
-                    body = pack_ids(ids[last:end])
+            raws = enc.encode(b.column(2).to_pylist())
+            every = np.frombuffer(b"".join(raws), "<u4")
+            firsts = np.cumsum([0, *(len(r) // 4 for r in raws)])
+            found = marks(every)
+            of = np.searchsorted(found, firsts, "right").tolist()
+            for i, (first, stop) in enumerate(zip(firsts.tolist(), firsts[1:].tolist(), strict=False)):
+                last, inside = 0, found[of[i] : of[i + 1]] - first
+                for k, end in enumerate(cuts(inside.tolist(), stop - first)):
+                    body = pack_ids(every[first + last : first + end])
                     name = digest(body)
                     at.append(i)
                     ks.append(k)
@@ -143,13 +153,21 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drops the body of a chunk that this task has already passed on."""
     seen: set[bytes] = set()
     for b in batches:
-        bodies = b.column("body").to_pylist()
-        for i, name in enumerate(b.column("digest").to_pylist()):
-            if bodies[i] is not None:
-                if name in seen:
-                    bodies[i] = None
-                seen.add(name)
-        yield b.set_column(b.schema.get_field_index("body"), "body", pa.array(bodies, pa.binary()))
+        body = b.column("body")
+        keep = body.is_valid().to_numpy(zero_copy_only=False).copy()
+        names = b.column("digest").to_pylist()
+        for i in np.flatnonzero(keep).tolist():
+            if names[i] in seen:
+                keep[i] = False
+            else:
+                seen.add(names[i])
+        yield b.set_column(b.schema.get_field_index("body"), "body", pc.if_else(pa.array(keep), body, pa.scalar(None, pa.binary())))
+
+
+def _lists(column: pa.Array, *fields: str) -> tuple[list[int], list[list]]:
+    """Offsets of a column of lists of structs, and its structs' fields, all rows in a row."""
+    flat = column.flatten()
+    return [0, *np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False)).tolist()], [flat.field(f).to_pylist() for f in fields]
 
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +176,8 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, start = TaskContext.get().partitionId(), 0
     for b in batches:
         n = b.column("n_tokens").to_pylist()
-        roots = [merkle([c["digest"] for c in x]) for x in b.column("chunks").to_pylist()]
+        at, (names,) = _lists(b.column("chunks"), "digest")
+        roots = [merkle(names[x:y]) for x, y in zip(at, at[1:], strict=False)]
         starts = start + np.cumsum([0, *n])
         start = int(starts[-1])
         cols = [b.column("doc_id"), b.column("uid"), b.column("n_tokens"), pa.array([part] * len(n), pa.int32()), pa.array(starts[:-1], pa.int64()), pa.array(roots, pa.binary()), b.column("chunks")]
@@ -205,11 +224,12 @@ def _read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
+        at, (names, ns, parts) = _lists(b.column("chunks"), "digest", "n", "crc")
         crcs = []
-        for root, chunks in zip(b.column("root").to_pylist(), b.column("chunks").to_pylist(), strict=True):
-            if merkle([c["digest"] for c in chunks]) != root:
+        for root, x, y in zip(b.column("root").to_pylist(), at, at[1:], strict=False):
+            if merkle(names[x:y]) != root:
                 raise ValueError("a recipe does not match its Merkle root")
-            crcs.append(crc32_joined([(c["crc"], 4 * c["n"]) for c in chunks]))
+            crcs.append(crc32_joined([(c, 4 * n) for c, n in zip(parts[x:y], ns[x:y], strict=True)]))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
