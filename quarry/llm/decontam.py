@@ -13,41 +13,67 @@ over the documents, whose findings are merged. Documents are never shuffled for
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import table, tune, written
 
 WINDOW, SHINGLE, BLOCK_WINDOWS = 10, 4, 500_000
-#: Of UTF-8: digits, letters and all bytes of signs beyond ASCII, after lower-casing A-Z.
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Bytes of words in UTF-8: digits, letters and all bytes of signs beyond ASCII, after lower-casing A-Z.
+_IN_WORD = np.zeros(256, bool)
+_IN_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_MEMO = 500_000
+#: Bytes hashed at once; longer texts are cut between words.
+_PART = 1 << 20
 
 
-def words(text: str | None) -> list[bytes]:
-    return _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
+class Words:
+    """A text's words as stretches of its lower-case bytes, with a 64-bit hash of each.
 
+    Hashes are polynomials in the bytes, for all words at once: differences of a running sum, moved
+    to the same power by the multiplier's inverse.
+    """
 
-def _hashed(tokens: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
+    _powers = _inverses = np.zeros(0, np.uint64)
+
+    def __init__(self, text: str | None) -> None:
+        self.raw = (text or "").encode("utf-8", "surrogatepass").lower()
+        raw = np.frombuffer(self.raw, np.uint8)
+        inside = _IN_WORD[raw]
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        self.starts, self.ends = edge[::2], edge[1::2]
+        self.hashes = np.zeros(len(self.starts), np.uint64)
+        done = 0
+        while done < len(self.starts):
+            first = int(self.starts[done])
+            stop = max(done + 1, int(np.searchsorted(self.ends, first + _PART, "right")))
+            self.hashes[done:stop] = self._hash(raw[first : int(self.ends[stop - 1])], self.starts[done:stop] - first, self.ends[done:stop] - first)
+            done = stop
+
+    @classmethod
+    def _hash(cls, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = len(raw)
+        if len(cls._powers) < n:
+            size = max(n, 2 * len(cls._powers))
+            cls._powers = np.cumprod(np.full(size, _MULT))
+            cls._inverses = np.cumprod(np.full(size, np.uint64(pow(int(_MULT), -1, 1 << 64))))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((raw + np.uint64(1)) * cls._powers[:n], out=total[1:])
+        h = (total[ends] - total[starts]) * cls._inverses[starts]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(29))
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def joined(self, first: int, end: int) -> bytes:
+        """Words first..end, with a space between."""
+        return b" ".join([self.raw[a:b] for a, b in zip(self.starts[first:end].tolist(), self.ends[first:end].tolist(), strict=True)])
 
 
 def _shingles(h: np.ndarray, width: int) -> np.ndarray:
@@ -87,9 +113,9 @@ def windows(items: DataFrame, window: int, id_col: str, text_col: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tokens = words(text)
-                n = min(window, len(tokens))
-                found = list({b" ".join(tokens[i : i + n]) for i in range(len(tokens) - n + 1)}) if n else []
+                words = Words(text)
+                n = min(window, len(words))
+                found = list({words.joined(i, i + n) for i in range(len(words) - n + 1)}) if n else []
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([item] * len(found), pa.string()), pa.array(found, pa.binary())], ["item", "w"])
 
@@ -106,9 +132,10 @@ class _Index:
             owners.setdefault(bytes(r["w"]), []).append(r["item"])
         self.windows = sorted(owners)
         self.owners = [owners[w] for w in self.windows]
-        self.tokens = [w.split(b" ") for w in self.windows]
-        self.all = [_shingles(_hashed(t), min(shingle, len(t))) for t in self.tokens]
-        self.widths = sorted({min(shingle, len(t)) for t in self.tokens})
+        words = [Words(w.decode("utf-8", "surrogatepass")) for w in self.windows]
+        self.sizes = [len(w) for w in words]
+        self.all = [_shingles(w.hashes, min(shingle, len(w))) for w in words]
+        self.widths = sorted({min(shingle, n) for n in self.sizes})
 
     def every(self) -> np.ndarray:
         return np.concatenate([*self.all, np.zeros(0, np.uint64)])
@@ -123,16 +150,15 @@ class _Index:
         self.at = [at[int(h)] for h in self.prefixes.values]
         del self.all
 
-    def find(self, tokens: list[bytes]) -> tuple[np.ndarray, set[str]]:
+    def find(self, words: Words) -> tuple[np.ndarray, set[str]]:
         """Which words lie in an occurrence of a window, and the items these are of."""
-        n = len(tokens)
-        edge, items, h = np.zeros(n + 1, np.int64), set(), _hashed(tokens)
+        n = len(words)
+        edge, items = np.zeros(n + 1, np.int64), set()
         for width in self.widths:
-            for p, k in zip(*(x.tolist() for x in self.prefixes.where(_shingles(h, width))), strict=True):
+            for p, k in zip(*(x.tolist() for x in self.prefixes.where(_shingles(words.hashes, width))), strict=True):
                 for offset, i in self.at[k]:
-                    want = self.tokens[i]
-                    start, end = p - offset, p - offset + len(want)
-                    if start >= 0 and end <= n and tokens[start:end] == want:
+                    start, end = p - offset, p - offset + self.sizes[i]
+                    if start >= 0 and end <= n and words.joined(start, end) == self.windows[i]:
                         edge[start] += 1
                         edge[end] -= 1
                         items.update(self.owners[i])
@@ -147,7 +173,7 @@ def _counts(docs: DataFrame, index: _Index) -> dict[int, int]:
         total = np.zeros(len(every.values), np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
-                h = _hashed(words(text))
+                h = Words(text).hashes
                 for width in widths:
                     np.add.at(total, every.where(_shingles(h, width))[1], 1)
         some = np.flatnonzero(total)
@@ -170,9 +196,9 @@ def _scan(docs: DataFrame, index: _Index, kind: str) -> DataFrame:
         for b in batches:
             n_words, spans, items = [], [], []
             for text in b.column(2).to_pylist():
-                tokens = words(text)
-                hit, found = index.find(tokens)
-                n_words.append(len(tokens))
+                words = Words(text)
+                hit, found = index.find(words)
+                n_words.append(len(words))
                 spans.append(_spans(hit))
                 items.append(sorted(found))
             cols = [b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
