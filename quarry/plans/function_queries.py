@@ -319,7 +319,11 @@ def _rows(name: str, keys: list[str], cases: list[Case]):
 
 def _groups(name: str, keys: list[str], cases: list[Case]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, name).groupBy(*keys).agg(*[of().alias(alias) for alias, of, _ in cases])
+        """DISTINCT aggregates repeat each row for each of them, so they have a pass of their own columns;
+        both results are a row per group."""
+        groups = table(spark, sf_dir, name).groupBy(*keys)
+        plain = groups.agg(*[of().alias(alias) for alias, of, sql in cases if "(DISTINCT" not in sql])
+        return plain.join(groups.agg(*[of().alias(alias) for alias, of, sql in cases if "(DISTINCT" in sql]), keys)
 
     return run, f"SELECT {', '.join(keys)}, " + ", ".join(f"{sql} AS {alias}" for alias, _, sql in cases) + f" FROM {name} GROUP BY {', '.join(keys)}"
 
