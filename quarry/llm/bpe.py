@@ -258,7 +258,7 @@ class Encoder:
 
         for i, text in enumerate(texts):
             if (raw := self._simple(text or "")) is None:
-                out[i] = self._pieces(text)
+                out[i] = self._pieces(text or "")
                 continue
             if size + len(raw) + 1 > _GROUP:
                 flush()
