@@ -21,7 +21,7 @@ def read_parquet(spark: SparkSession, path: str | list[str], union_by_name: bool
     return df.select("*", *extra) if extra else df
 
 
-def read_csv(spark: SparkSession, path: str, columns: str | None = None, header: bool = True, delim: str = ",", quote: str = '"', escape: str = '"', nullstr: str = "", skip: int = 0, all_varchar: bool = False, ignore_errors: bool = False, rejects: str | None = None, dateformat: str | None = None, timestampformat: str | None = None, compression: str | None = None, **options) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: str | None = None, header: bool = True, delim: str = ",", quote: str = '"', escape: str = '"', nullstr: str = "", all_varchar: bool = False, ignore_errors: bool = False, rejects: str | None = None, dateformat: str | None = None, timestampformat: str | None = None, compression: str | None = None, **options) -> DataFrame:
     """columns: a DDL schema; without one types are inferred in a pass of its own. ignore_errors drops rows
     that do not fit, rejects keeps them with their text in a column of that name."""
     reader = spark.read.options(header=header, sep=delim, quote=quote, escape=escape, nullValue=nullstr, **options)
@@ -33,9 +33,6 @@ def read_csv(spark: SparkSession, path: str, columns: str | None = None, header:
         reader = reader.option("columnNameOfCorruptRecord", rejects)
         columns = f"{columns}, {rejects} string"
     reader = reader.schema(columns) if columns else reader.option("inferSchema", not all_varchar)
-    if skip:
-        lines = spark.read.text(path).withColumn("__i", F.col("_metadata.file_path"))
-        raise ValueError(f"skip lines with comment= or a filter on {lines.columns}; files are read in parts")
     return reader.csv(path)
 
 
