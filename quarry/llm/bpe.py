@@ -28,7 +28,7 @@ _WITH_SPACE = re.compile(f" ?[{_L}]+|{_CONTRACTED}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|
 _NO_SPACE = re.compile(f"[{_L}]+|{_CONTRACTED}|[{_N}]|[^{_S}{_L}{_N}]+")
 _TWO_SPACES = re.compile(rb"[\t\n\r ]{2}")
 #: Pre-tokens that a process remembers at most.
-MEMO_PIECES = 1_000_000
+MEMO_PIECES = 400_000
 
 
 def default_path(name: str) -> str:

@@ -27,7 +27,7 @@ FOLDS, HELD_OUT, UNKNOWN = 4, 2, "und"
 DOCS_OF_LANG, WORDS_OF_LANG, TRAIN_CHARS, MOST_LANGS = 300, 30_000, 50_000, 500
 EMBED, HIDDEN, SPAN, TEMPER = 12, 16, 24, 8.0
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 400_000
+_MEMO = 250_000
 
 
 def stretches(word: str) -> list[bytes]:

@@ -29,7 +29,7 @@ FOLDS = 5
 SPAN = 40
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 500_000
+_MEMO = 150_000
 
 
 def features(word: str) -> list[int]:
