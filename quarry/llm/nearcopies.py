@@ -1,0 +1,129 @@
+"""Near copies by the Jaccard similarity of word shingles, exactly verified.
+
+Candidates come from MinHash: BANDS keys of ROWS minima each. Two texts of similarity s share a key
+with probability 1 - (1 - s^ROWS)^BANDS, which at 0.8 is all but 3 in a million; every candidate that
+can matter is then verified on the shingles of the texts themselves. Texts of equal shingles are one
+entry from the start.
+
+First every entry is held against the smallest of each of its buckets. What the links found so far
+leave in different components is then compared pair by pair, so that components are those of all
+candidates, while a bucket of many copies costs one comparison for each.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quarry.llm.common import written
+from quarry.llm.components import connected_components
+
+WORDS, LEAST, BANDS, ROWS, SEED = 5, 0.8, 32, 5, 42
+_RNG = np.random.default_rng(SEED)
+_TIMES = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64, endpoint=False) | np.uint64(1)
+_FLIPS = _RNG.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64, endpoint=False)
+_CHUNK = 512
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's runs of words, sorted. A text of fewer words is one shingle."""
+    tokens = [t.encode("utf-8", "surrogatepass") for t in (text or "").lower().split()]
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(tokens) - words + 1)]
+    ends = ends[min(words, len(tokens)) - 1 :]
+    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if both else 0.0
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """Keys of the buckets of a set of shingles, signed; none of an empty set."""
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for k in range(0, len(found), _CHUNK):
+        least = np.minimum(least, ((found[k : k + _CHUNK] ^ _FLIPS) * _TIMES).min(1))
+    keys = [xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(least.reshape(BANDS, ROWS))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingles(x) for x in b.column(1).to_pylist()]
+        names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        cols = [b.column(0), pa.array(names, pa.binary()), pa.array(map(len, sets), pa.int32()), pa.array(map(bands, sets), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, ["row", "digest", "n", "keys"])
+
+
+def _verify(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(maxsize=64)(shingles)
+        for b in batches:
+            ok = [similarity(known(x), known(y)) >= least for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def links(buckets: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
+    """buckets (key, node, n), texts (node, text): (a, b) that connect what all pairs of `least` or more
+    within a bucket connect."""
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        return written(with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify(least), "a long, b long"), "links")
+
+    def near(n: str, m: str):
+        return F.least(n, m) >= F.greatest(n, m) * F.lit(least)  # of other lengths no pair is similar enough
+
+    hubs = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"))
+    stars = buckets.join(hubs, "key").filter(F.col("node") != F.col("hub.node")).withColumn("hub_n", F.col("hub.n"))
+    stars = written(stars.filter(near("n", "hub_n")).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    first = verified(stars)
+    parts = connected_components(first, "a", "b")
+    rows = buckets.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+    rows = written(rows.join(mixed, "key", "left_semi").select("key", "node", "n", "root"), "mixed")
+    left = rows.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    right = rows.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    rest = left.join(right, "key").filter("a < b and root_a <> root_b").filter(near("n_a", "n_b")).select("a", "b").distinct()
+    return first.unionByName(verified(written(rest.join(stars, ["a", "b"], "left_anti"), "pairs")))
+
+
+def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """One row of docs (all columns) for each component of texts of similarity `least` or more: that of
+    the smallest doc_id (null last), of equal ids the first in reading order. Blank texts are alike.
+    Read docs from a table: rows are told apart by their place."""
+    place = F.monotonically_increasing_id()
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), place.alias("place"))
+    rows = docs.select(row.alias("row"), "text")
+    kind = rows.schema["row"].dataType.simpleString()
+    entries = written(rows.mapInArrow(_entries, f"row {kind}, digest binary, n int, keys array<long>"), "entries")
+    # The keys of one row of each digest only; no column of keys goes through a shuffle for the others.
+    nodes = written(entries.groupBy("digest").agg(F.min("row").alias("least")).select("digest", "least", F.col("least.place").alias("node")), "nodes")
+    keyed = entries.select(F.col("row.place").alias("node"), "n", "keys").join(nodes.select("node"), "node", "left_semi").select(F.explode("keys").alias("key"), "node", "n")
+    keyed = written(keyed, "keyed")
+    shared = keyed.groupBy("key").count().filter("count > 1").select("key")
+    buckets = written(keyed.join(shared, "key", "left_semi"), "buckets")
+    texts = docs.select(F.monotonically_increasing_id().alias("node"), "text")
+    texts = written(texts.join(buckets.select("node").distinct(), "node", "left_semi"), "texts")
+    parts = connected_components(links(buckets, texts, least), "a", "b")
+    # nodes are places; a component is named by its smallest row, in the order of ids
+    named = nodes.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = named.groupBy("root").agg(F.min("least").alias("kept")).select(F.col("kept.place").alias("__place"))
+    rows = docs.withColumn("__place", F.monotonically_increasing_id())
+    return rows.join(written(kept, "kept"), "__place", "left_semi").drop("__place")

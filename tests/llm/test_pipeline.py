@@ -112,3 +112,22 @@ def test_entry_works_without_the_subpackage(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+def test_near_duplicates_are_those_of_five_words_and_similarity(spark, tmp_path):
+    """Pairs just over and just under 0.8, a chain, blanks and a text's capitals."""
+    from corpus_pipeline import drop_near_duplicates
+
+    rng, rows, want = np.random.default_rng(3), [], set()
+    for k in range(0, 400, 10):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 104)]  # 100 shingles
+        near = base[:-11] + [f"n{k}{i}" for i in range(11)]  # 89 shared of 111: 0.802
+        chained = [f"c{k}{i}" for i in range(9)] + near[9:]  # 91 of 109 with near, fewer with base
+        far = base[:-12] + [f"f{k}{i}" for i in range(12)]  # 88 shared of 112: 0.786
+        rows += [(k, " ".join(base)), (k + 1, " ".join(near)), (k + 2, " ".join(chained)), (k + 3, " ".join(far)), (k + 4, " ".join(base).upper())]
+        want |= {k, k + 3}
+    rows += [(900, ""), (901, None), (902, "one two"), (903, "One  two"), (None, "one two")]
+    want |= {900, 902}
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    got = [r["doc_id"] for r in drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/d"), "").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
