@@ -26,6 +26,8 @@ from quarry.llm.common import fold, table, tune
 FOLDS, HELD_OUT, UNKNOWN = 4, 2, "und"
 DOCS_OF_LANG, WORDS_OF_LANG, TRAIN_CHARS, MOST_LANGS = 300, 30_000, 50_000, 500
 EMBED, HIDDEN, SPAN, TEMPER = 12, 16, 24, 8.0
+#: First and last small letters of alphabets, for words of no language.
+SCRIPTS = ((0x61, 0x7A), (0xDF, 0x17F), (0x3B1, 0x3C9), (0x430, 0x45F), (0x561, 0x586), (0x5D0, 0x5EA), (0x620, 0x64A), (0x904, 0x939), (0xE01, 0xE30), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO = 250_000
 
@@ -204,13 +206,28 @@ def sample(docs: DataFrame) -> dict[str, list[str]]:
     return {k: x for k, x in out.items() if x}
 
 
-def fit(texts_of: dict[str, list[str]], seed: int = 3, steps: int = 900) -> tuple[Network | None, list[str]]:
+def no_language(letters: str, n: int, rng: np.random.Generator) -> list[str]:
+    """n words of no language: letters in no order, half of them of the alphabets given, half of others."""
+    kinds = [np.array([ord(c) for c in letters])] * len(SCRIPTS) + [np.array([c for c in range(a, b + 1) if chr(c).isalpha()]) for a, b in SCRIPTS]
+    sizes, of = rng.integers(1, 13, n), rng.integers(len(kinds), size=n)
+    return ["".join(map(chr, rng.choice(kinds[k], m))) for k, m in zip(of.tolist(), sizes.tolist(), strict=True)]
+
+
+def fit(texts_of: dict[str, list[str]], seed: int = 3, steps: int = 900, reject: bool = False) -> tuple[Network | None, list[str]]:
+    """The network and its classes. reject: with a class UNKNOWN of words of no language besides."""
     rng, langs, pools = np.random.default_rng(seed), [], []
     for lang, texts in texts_of.items():
         pool = [w for t in texts for w in words(t)]
         if pool:
             langs.append(lang)
             pools.append([pool[i] for i in rng.choice(len(pool), min(WORDS_OF_LANG, len(pool)), replace=False)])
+    if reject and set(langs) - {UNKNOWN}:
+        made = no_language("".join(sorted({c for x in pools for w in x for c in w})), WORDS_OF_LANG, rng)
+        if UNKNOWN in langs:
+            pools[langs.index(UNKNOWN)] += made
+        else:
+            langs.append(UNKNOWN)
+            pools.append(made)
     return (train(pools, steps) if langs else None), langs
 
 
@@ -242,9 +259,14 @@ def language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The rows of docs (all columns) in a language that could be told."""
+    """The rows of docs (all columns) in a language that could be told: a text without a letter is in none,
+    nor is one that the network holds for words of no language. If no language could be learned, every
+    text with a letter is kept."""
+    model = fit(sample(docs), reject=True)
+    if not set(model[1]) - {UNKNOWN}:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     rows = docs.select(F.struct("*").alias("row"), "text")
-    return labelled(rows, fit(sample(docs)), "row").filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    return labelled(rows, model, "row").filter(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

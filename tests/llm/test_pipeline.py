@@ -131,3 +131,19 @@ def test_near_duplicates_are_those_of_five_words_and_similarity(spark, tmp_path)
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
     got = [r["doc_id"] for r in drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/d"), "").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_language_stage_lets_the_network_reject(spark, corpus):
+    from pyspark.sql import functions as F
+
+    from corpus_pipeline import drop_unknown_language
+
+    folder, *_ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 240")
+    rng = np.random.default_rng(4)
+    noise = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(3, 9))) for _ in range(60))
+    rows = [(2000, noise("bcdfghjklmnpqrstvwxz"), None, "s", 1), (2001, "Все люди рождаются свободными и равными в своем достоинстве и правах", None, "s", 1), (2002, noise("αβγδεζηθικλμν"), None, "s", 1), (2003, "123 !", None, "s", 1)]
+    both = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    assert {r["doc_id"] for r in drop_unknown_language(spark, both, folder).select("doc_id").collect()} == set(range(240))
+    untold = both.withColumn("lang", F.lit(None).cast("string"))  # nothing to learn from
+    assert {r["doc_id"] for r in drop_unknown_language(spark, untold, folder).select("doc_id").collect()} == {*range(240), 2000, 2001, 2002}
