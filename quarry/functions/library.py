@@ -119,24 +119,29 @@ def last(x, *order) -> Column:
     return F.max(F.struct(*order, _c(x).alias("__v")))["__v"] if order else F.last(x)
 
 
-#: Distinct values that histogram, and so entropy, count exactly in one aggregate.
-MOST_BUCKETS = 10_000
+def _counts(x) -> Column:
+    """array(struct(key, value)): every value and its count, in the order of the values, from the sorted
+    list of the group's values. Lambdas over one element keep the list from being sorted again."""
+
+    def of(l: Column) -> Column:
+        firsts = F.filter(F.transform(l, lambda v, i: F.when((i == 0) | (v != F.get(l, i - 1)), i)), lambda i: i.isNotNull())
+        return F.get(F.transform(F.array(firsts), lambda f: F.transform(f, lambda p, k: F.struct(F.get(l, p).alias("key"), (F.coalesce(F.get(f, k + 1), F.size(l)) - p).cast("long").alias("value")))), 0)
+
+    return F.get(F.transform(F.array(F.array_sort(F.collect_list(x))), of), 0)
 
 
 @named("histogram")
 def histogram(x) -> Column:
-    """map(value -> count) in the order of the values, from a sketch of a bounded size that counts
-    exactly while there are at most MOST_BUCKETS values; operators.aggregates.histogram has no bound."""
-    top = F.call_function("approx_top_k", x, F.lit(MOST_BUCKETS), F.lit(4 * MOST_BUCKETS))
-    known = F.filter(top, lambda s: s["item"].isNotNull())
-    return F.map_from_entries(F.array_sort(F.transform(known, lambda s: F.struct(s["item"].alias("key"), s["count"].alias("value")))))
+    """map(value -> count) in the order of the values, exact. It holds the values of a group, as list
+    does; operators.aggregates.histogram does not."""
+    return F.map_from_entries(_counts(x))
 
 
 @named("entropy")
 def entropy(x) -> Column:
-    """Log-2 entropy of the values' counts; 0 of no values. Bounded as histogram is."""
-    counts = F.transform(F.filter(F.call_function("approx_top_k", x, F.lit(MOST_BUCKETS), F.lit(4 * MOST_BUCKETS)), lambda s: s["item"].isNotNull()), lambda s: s["count"])
-    parts = F.aggregate(counts, F.lit(0.0), lambda a, n: a + n * F.log2(n.cast("double")))
+    """Log-2 entropy of the values' counts, exact; 0 of no values. It holds the values of a group, as
+    histogram does."""
+    parts = F.aggregate(F.transform(_counts(x), lambda s: s["value"]), F.lit(0.0), lambda a, n: a + n * F.log2(n.cast("double")))
     total = F.count(x)
     return F.when(total > 0, F.log2(total.cast("double")) - parts / total).otherwise(F.lit(0.0))
 

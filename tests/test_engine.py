@@ -137,3 +137,21 @@ def test_streaming_windows(spark, tmp_path):
     q = windowed_counts(stream, "ts", ["k"], "5 minutes").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
     q.awaitTermination()
     assert sorted((r["k"], r["n"]) for r in spark.table("w").collect()) == [("a", 1), ("a", 1), ("b", 1)]
+
+
+def test_histogram_and_entropy_count_every_value(spark):
+    """Over 10,000 distinct values, of different counts, with nulls; and no values at all."""
+    import math
+
+    from quarry.functions import call
+
+    n = 12_000  # value v comes v % 3 + 1 times
+    rows = spark.range(n).selectExpr("explode(array_repeat(id, cast(id % 3 + 1 as int))) AS v").unionAll(spark.sql("SELECT CAST(NULL AS BIGINT) AS v"))
+    got = rows.agg(call("histogram", F.col("v")).alias("h"), call("entropy", F.col("v")).alias("e")).first()
+    assert got["h"] == {v: v % 3 + 1 for v in range(n)}
+    total = 2 * n
+    assert math.isclose(got["e"], -sum((v % 3 + 1) / total * math.log2((v % 3 + 1) / total) for v in range(n)), rel_tol=1e-9)
+    none = rows.filter("v IS NULL").agg(call("histogram", F.col("v")).alias("h"), call("entropy", F.col("v")).alias("e")).first()
+    assert none["h"] == {} and none["e"] == 0.0
+    words = spark.createDataFrame([("b",), ("a",), ("b",)], "s string").agg(call("histogram", F.col("s")).alias("h")).first()
+    assert list(words["h"].items()) == [("a", 1), ("b", 2)]
