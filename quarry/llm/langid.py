@@ -14,6 +14,7 @@ document's language.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ EMBED, HIDDEN, SPAN, TEMPER = 12, 16, 24, 8.0
 #: First and last small letters of alphabets, for words of no language.
 SCRIPTS = ((0x61, 0x7A), (0xDF, 0x17F), (0x3B1, 0x3C9), (0x430, 0x45F), (0x561, 0x586), (0x5D0, 0x5EA), (0x620, 0x64A), (0x904, 0x939), (0xE01, 0xE30), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 _WORD = re.compile(r"[^\W\d_]+")
-_MEMO = 250_000
+_MEMO, _MEMO_SUMS = 250_000, 4_000_000
 
 
 def stretches(word: str) -> list[bytes]:
@@ -177,7 +178,7 @@ class Labeller:
                 out.append((UNKNOWN, 0.0))
                 continue
             new = set(found).difference(self.at)
-            if len(self.at) + len(new) > _MEMO:
+            if len(self.at) + len(new) > min(_MEMO, _MEMO_SUMS // len(self.langs)):
                 self._reset()
                 new = set(found)
             if new:
@@ -191,19 +192,34 @@ class Labeller:
 
 
 def sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Texts to train on by language, none of the held-out fold. Counts cover all rows; a hash of the
-    id then keeps about DOCS_OF_LANG of each language, so that one pass and no shuffle finds them."""
+    """Texts to train on by language, none of the held-out fold. Counts cover all rows with a letter; a hash
+    of the id then keeps about DOCS_OF_LANG of each language (fewer past MOST_LANGS languages), so that one
+    pass and no shuffle finds them. Of a text of over TRAIN_CHARS characters, so many of its letters are
+    taken in a row, from a place of its hash. Languages without a letter are reported, none other is left out."""
     learn = docs.select("doc_id", "text", "lang").filter("lang is not null and text is not null").filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    lettered = F.col("text").rlike(r"\p{L}")
+    found = learn.groupBy("lang").agg(F.count_if(lettered).alias("n")).collect()
+    counts = {r["lang"]: r["n"] for r in found if r["n"]}
+    if len(counts) < len(found):
+        warnings.warn(f"no letter to learn from: {sorted(r['lang'] for r in found if not r['n'])}", stacklevel=2)
     if not counts:
         return {}
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, DOCS_OF_LANG / n))])
+    most = DOCS_OF_LANG * min(1.0, MOST_LANGS / len(counts))
+    if most < 1:
+        raise ValueError(f"{len(counts)} languages are more than can be learned")
+    letters = F.regexp_replace("text", r"[^\p{L}\p{M}]+", " ")
+    place = F.pmod(F.xxhash64("text"), F.greatest(F.length(letters) - TRAIN_CHARS, F.lit(0)) + 1).cast("int") + 1
+    piece = F.when(F.length("text") <= TRAIN_CHARS, F.col("text")).otherwise(F.substring(letters, place, F.lit(TRAIN_CHARS)))
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most / n))])
     chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(17)), F.lit(1_000_000)) / 1_000_000
-    rows = learn.filter(F.length("text") <= TRAIN_CHARS).filter(chance < F.element_at(share, F.col("lang"))).select("lang", "text").collect()
+    learn = learn.filter(lettered)
+    rows = learn.filter(chance < F.element_at(share, F.col("lang"))).select("lang", piece.alias("text")).collect()
+    if missing := set(counts) - {r["lang"] for r in rows}:  # few ids, all of a high hash
+        rows += learn.filter(F.col("lang").isin(*missing)).groupBy("lang").agg(F.min(piece).alias("text")).collect()
     out: dict[str, list[str]] = {k: [] for k in sorted(counts)}
     for r in sorted(rows, key=lambda r: (r["lang"], r["text"])):
         out[r["lang"]].append(r["text"])
-    return {k: x for k, x in out.items() if x}
+    return out
 
 
 def no_language(letters: str, n: int, rng: np.random.Generator) -> list[str]:
@@ -216,13 +232,14 @@ def no_language(letters: str, n: int, rng: np.random.Generator) -> list[str]:
 def fit(texts_of: dict[str, list[str]], seed: int = 3, steps: int = 900, reject: bool = False) -> tuple[Network | None, list[str]]:
     """The network and its classes. reject: with a class UNKNOWN of words of no language besides."""
     rng, langs, pools = np.random.default_rng(seed), [], []
+    most = max(1, int(WORDS_OF_LANG * min(1.0, MOST_LANGS / max(1, len(texts_of)))))
     for lang, texts in texts_of.items():
         pool = [w for t in texts for w in words(t)]
         if pool:
             langs.append(lang)
-            pools.append([pool[i] for i in rng.choice(len(pool), min(WORDS_OF_LANG, len(pool)), replace=False)])
+            pools.append([pool[i] for i in rng.choice(len(pool), min(most, len(pool)), replace=False)])
     if reject and set(langs) - {UNKNOWN}:
-        made = no_language("".join(sorted({c for x in pools for w in x for c in w})), WORDS_OF_LANG, rng)
+        made = no_language("".join(sorted({c for x in pools for w in x for c in w})), most, rng)
         if UNKNOWN in langs:
             pools[langs.index(UNKNOWN)] += made
         else:

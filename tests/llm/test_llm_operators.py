@@ -248,6 +248,21 @@ def test_language_over_edge_cases(spark, docs, empty):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items() if i is not None)
 
 
+def test_languages_of_long_texts_and_many_languages_are_learned(spark, monkeypatch):
+    from quarry.llm import langid as L
+
+    rows = [(i, "kava lamo kalava", "aa") for i in range(400)]
+    rows += [(1000 + i, "1 " * 60_000 + "grööp strüpf " * 5_000, "bb") for i in range(8)]  # letters after TRAIN_CHARS characters
+    rows += [(2000 + i, "12 34", "cc") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    with pytest.warns(UserWarning, match="cc"):
+        got = L.sample(docs)
+    assert set(got) == {"aa", "bb"} and all("grööp" in t and len(t) <= L.TRAIN_CHARS for t in got["bb"])
+    assert len(got["bb"]) == sum(zlib.crc32(str(1000 + i).encode()) % 4 != 2 for i in range(8))
+    monkeypatch.setattr(L, "MOST_LANGS", 1)
+    assert set(L.sample(docs.filter("lang <> 'cc'"))) == {"aa", "bb"}
+
+
 # Decontamination
 
 
