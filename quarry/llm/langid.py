@@ -14,6 +14,7 @@ document's language.
 from __future__ import annotations
 
 import re
+import unicodedata
 import warnings
 from collections.abc import Iterator
 
@@ -29,7 +30,18 @@ DOCS_OF_LANG, WORDS_OF_LANG, TRAIN_CHARS, MOST_LANGS = 300, 30_000, 50_000, 500
 EMBED, HIDDEN, SPAN, TEMPER = 12, 16, 24, 8.0
 #: First and last small letters of alphabets, for words of no language.
 SCRIPTS = ((0x61, 0x7A), (0xDF, 0x17F), (0x3B1, 0x3C9), (0x430, 0x45F), (0x561, 0x586), (0x5D0, 0x5EA), (0x620, 0x64A), (0x904, 0x939), (0xE01, 0xE30), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
-_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _class(of) -> str:
+    """The inside of a character class of the code points for which `of` holds."""
+    on = [c for c in range(0x110000) if of(chr(c))]
+    firsts = [c for k, c in enumerate(on) if not k or on[k - 1] != c - 1]
+    lasts = [c for k, c in enumerate(on) if k + 1 == len(on) or on[k + 1] != c + 1]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(firsts, lasts, strict=True))
+
+
+_LETTERS, _MARKS = _class(lambda c: c.isalnum() and not c.isdecimal()), _class(lambda c: unicodedata.category(c)[0] == "M")
+_WORD, _MARKED_WORD = re.compile(r"[^\W\d_]+"), re.compile(f"[{_LETTERS}][{_LETTERS}{_MARKS}]*")
 _MEMO, _MEMO_SUMS = 250_000, 4_000_000
 
 
@@ -41,8 +53,14 @@ def stretches(word: str) -> list[bytes]:
 
 
 def words(text: str | None) -> list[str]:
-    """Lower-case runs of letters; none if the text has no letter."""
-    found = _WORD.findall((text or "").lower())
+    """Lower-case runs of letters with their combining marks, composed where they can be; none if the
+    text has no letter."""
+    text = (text or "").lower()
+    try:
+        text.encode("latin-1")  # no marks, nothing to compose
+        found = _WORD.findall(text)
+    except UnicodeEncodeError:
+        found = _MARKED_WORD.findall(unicodedata.normalize("NFC", text))
     return found if any(c.isalpha() for w in found for c in w) else []
 
 

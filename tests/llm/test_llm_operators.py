@@ -263,6 +263,14 @@ def test_languages_of_long_texts_and_many_languages_are_learned(spark, monkeypat
     assert set(L.sample(docs.filter("lang <> 'cc'"))) == {"aa", "bb"}
 
 
+def test_words_keep_their_combining_marks():
+    from quarry.llm.langid import words
+
+    assert words("हिन्दी में 12 सीखना") == ["हिन्दी", "में", "सीखना"] and words("ที่นี่") == ["ที่นี่"]
+    assert words("Cafe\u0301 e\u0301te\u0301") == words("Café été") == ["café", "été"]
+    assert words("x1y ² _a\u0301_") == ["x", "y", "²", "á"] and words("\u0301 12") == []
+
+
 # Decontamination
 
 
