@@ -5,8 +5,8 @@ the weights of its words (the word and its beginnings, hashed), a document's is
 sentences: 1 - prod(1 - p). Both are trained together from document labels, after which sentence
 scores tell where the offence is.
 
-The fit runs on a bounded sample (MOST_OF_CLASS documents of each class, of TRAIN_CHARS characters
-at most, in the order of a hash of their ids); scoring covers whole texts. Weights are a fixed
+The fit runs on a bounded sample (MOST_OF_CLASS whole documents of each class, fewer if they are of over
+MOST_CHARS characters together, in the order of a hash of their ids); scoring covers whole texts. Weights are a fixed
 number of hash buckets, whatever the vocabulary.
 """
 
@@ -18,13 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fold, table, tune
+from quarry.llm.common import fold, table, tune, written
 
 BUCKETS, BEGINNINGS = 1 << 18, (4, 5, 6)
-MOST_OF_CLASS, TRAIN_CHARS = {1: 2500, 0: 5000}, 50_000
+MOST_OF_CLASS, MOST_CHARS = {1: 2500, 0: 5000}, 25_000_000
 FOLDS = 5
 SPAN = 40
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -52,7 +52,9 @@ class _Features(dict):
 
 def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), epochs: int = 28, rate: float = 0.6, l2: float = 1e-4, least: float = 0.3, pace: float = 0.3, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights of the hash buckets and the bias. weights: of a document of class 0 and of class 1.
-    pace: the rate of the bias. Weights under `least` are dropped: in a long text they add up to noise."""
+    pace: the rate of the bias. Without labels of both kinds nothing offends. Weights under `least` are dropped: in a long text they add up to noise."""
+    if not 0 < sum(labels) < len(labels):
+        return np.zeros(BUCKETS, np.float32), -np.inf
     known, ids, words_of, sents_of = _Features(), [], [], []
     for text in texts:
         sents = [[x for w in words for x in known[w]] for words in instances(text)]
@@ -121,17 +123,22 @@ class Scorer:
 
 def sample(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> tuple[list[str], list[int], tuple[float, float]]:
     """The rows to fit on, by a hash of their ids, none of the held-out fold; weights that restore
-    the classes' shares. Only ids and labels are sorted out in full; the texts of the chosen few join
-    a table of a proven size (the sum of MOST_OF_CLASS)."""
+    the classes' shares. Only ids, labels and lengths of the documents that have a letter are sorted out in
+    full; the whole texts of the chosen few (of MOST_CHARS in a class, or a single one of more) join a table of
+    a proven size (the sum of MOST_OF_CLASS)."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(fold(F.col("doc_id"), FOLDS) != 0)
+    texts = docs.select("doc_id", F.col(text_col).alias("text")).filter(F.col("text").rlike(r"\p{L}"))
+    known = written(known.join(texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("chars")), "doc_id"), "known")
     there = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in MOST_OF_CLASS.items()]
-    chosen = picked[0].unionByName(picked[1])
-    texts = docs.select("doc_id", F.col(text_col).alias("text")).filter(F.length("text") <= TRAIN_CHARS)
+    before = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)  # over these few
+    chosen = picked[0].unionByName(picked[1]).withColumn("before", F.coalesce(F.sum("chars").over(before), F.lit(0)))
+    chosen = chosen.filter(F.col("before") < MOST_CHARS).select("doc_id", "toxic")
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).collect()
     rows.sort(key=lambda r: r["doc_id"])
-    share = {y: max(1.0, there.get(y, 0) / n) for y, n in MOST_OF_CLASS.items()}
+    used = {y: sum(r["toxic"] == y for r in rows) for y in MOST_OF_CLASS}
+    share = {y: there.get(y, 0) / n if n else 1.0 for y, n in used.items()}
     least = min(share.values())
     return [r["text"] for r in rows], [int(r["toxic"]) for r in rows], (share[0] / least, share[1] / least)
 
@@ -160,9 +167,8 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
     """One row per row of docs: id, held_out, score, predicted and, with spans, the sentences that offend.
 
-    Labels of the held-out fold are never read. A null or empty text scores 0. Without labels of both
-    kinds the fit stays near its bias, under 0.5 for short texts. Labels that contradict each other
-    count as toxic. A null id is held out or not as the empty text is. Repeated rows stay repeated;
+    Labels of the held-out fold are never read. A null or empty text scores 0. Without usable
+    labels of both kinds every text scores 0. Labels that contradict each other count as toxic. A null id is held out or not as the empty text is. Repeated rows stay repeated;
     other columns are ignored.
     """
     model = fit(*sample(docs.withColumnRenamed(id_col, "doc_id"), labels, text_col))

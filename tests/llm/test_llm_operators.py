@@ -145,6 +145,23 @@ def test_noisy_or_learns_sentences_from_documents(spark, docs, empty):
     assert T.toxicity(empty, known.limit(0)).count() == 0
 
 
+def test_toxicity_fits_on_what_is_there(spark, monkeypatch):
+    from quarry.llm import toxicity as T
+
+    long = "fine words here. " * 4_000  # over 50,000 characters
+    rows = [(i, ("bad stuff. " if i % 2 else "") + (long if i % 3 == 0 else f"some text {i}.")) for i in range(60)] + [(60, None), (61, "12")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(-500, 62)], "doc_id long, quality int, toxic int")  # most have no document
+    monkeypatch.setattr(T, "MOST_OF_CLASS", {1: 20, 0: 20})
+    texts, ys, weights = T.sample(docs, labels)
+    there = {y: sum(i % 2 == y and zlib.crc32(str(i).encode()) % 5 != 0 for i in range(60)) for y in (0, 1)}
+    assert ys.count(0) == ys.count(1) == 20 and any(len(t) > 50_000 for t in texts)
+    assert weights[0] / weights[1] == pytest.approx(there[0] / there[1])
+    none = spark.createDataFrame([(99, 1, 1)], "doc_id long, quality int, toxic int")
+    for known in (labels.limit(0), none):
+        assert {r["predicted"] for r in T.toxicity(docs, known).collect()} == {0}
+
+
 # URL filters
 
 
