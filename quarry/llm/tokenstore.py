@@ -184,6 +184,20 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "n_tokens", "part", "local_start", "root", "chunks"])
 
 
+def _part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        roots = [merkle([hashlib.blake2b(b"\3" + x["root"], digest_size=16).digest() for x in row]) for row in b.column("docs").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("part"), b.column("n_docs"), b.column("n_tokens"), pa.array(roots, pa.binary())], ["part", "n_docs", "n_tokens", "root"])
+
+
+def _manifest(recipes: DataFrame) -> DataFrame:
+    """part, n_docs, n_tokens, base, root (Merkle, over the roots of its documents) of each file of recipes."""
+    parts = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("local_start", "root"))).alias("docs"))
+    parts = parts.mapInArrow(_part_roots, "part int, n_docs long, n_tokens long, root binary")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each file
+    return parts.select("part", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"), "root")
+
+
 def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Write every row of docs to a new store in `folder` and return it.
 
@@ -204,9 +218,7 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     shape = f"doc_id {kind}, uid long, n_tokens long, part int, local_start long, root binary, chunks array<struct<digest:binary,n:int>>"
     ordered.mapInArrow(_recipes, shape).write.option("compression", "zstd").parquet(f"{folder}/recipes")
     recipes = spark.read.schema(shape).parquet(f"{folder}/recipes")
-    parts = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("local_start", "root"))), lambda x: F.hex(x["root"]))), 256).alias("root"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each file
-    parts = parts.select("part", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"), "root")
+    parts = _manifest(recipes)
     parts.write.parquet(f"{folder}/manifest")
     return folder
 
@@ -234,7 +246,12 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{folder}/{x}") for x in ("segments", "recipes", "manifest"))
+    """The three tables of a store, the recipes held against the manifest."""
+    segments, recipes, manifest = (spark.read.parquet(f"{folder}/{x}") for x in ("segments", "recipes", "manifest"))
+    now = _manifest(recipes)
+    if now.exceptAll(manifest.select(now.columns)).count() or manifest.select(now.columns).exceptAll(now).count():
+        raise ValueError("recipes do not match the manifest")
+    return segments, recipes, manifest
 
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
@@ -255,16 +272,20 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, uid, ids array<long>: every document's ids, put together from the stored chunks."""
     segments, recipes, _ = _parts(spark, folder)
     bodies = segments.filter("body is not null").select("digest", "body")
-    uses = recipes.select("uid", "doc_id", F.posexplode("chunks").alias("k", "c")).select("uid", "doc_id", "k", "c.digest")
-    found = uses.join(bodies, "digest").groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("k", "body"))).alias("b"))
+    uses = recipes.select("uid", "doc_id", F.posexplode("chunks").alias("k", "c")).select("uid", "k", "c.digest")
+    found = uses.join(bodies, "digest").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("k", "body"))).alias("b"))
+    found = recipes.select("uid", "doc_id", "root").join(found, "uid", "left")
     kind = recipes.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            for root, row in zip(b.column("root").to_pylist(), b.column("b").to_pylist(), strict=True):
+                if merkle([digest(x["body"]) for x in row or []]) != root:
+                    raise ValueError("chunks of a document are damaged or lost")
             ids = [np.concatenate([unpack_ids(x["body"]) for x in row]).tolist() for row in b.column("b").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("uid"), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "uid", "ids"])
 
-    return found.select("doc_id", "uid", "b").mapInArrow(run, f"doc_id {kind}, uid long, ids array<long>")
+    return found.select("doc_id", "uid", "root", "b").mapInArrow(run, f"doc_id {kind}, uid long, ids array<long>")
 
 
 def op7_token_id_store(spark, sf_dir: str) -> DataFrame:

@@ -391,6 +391,18 @@ def test_store_finds_damage(spark, docs, tmp_path):
         S.read_digests(spark, f"file://{tmp_path}/b").collect()
 
 
+def test_store_finds_a_lost_recipe(spark, docs, tmp_path):
+    from quarry.llm import tokenstore as S
+
+    folder = S.write_store(docs.filter("doc_id < 5"), f"file://{tmp_path}/a")
+    for x in ("segments", "manifest"):
+        spark.read.parquet(f"{folder}/{x}").write.parquet(f"file://{tmp_path}/b/{x}")
+    spark.read.parquet(f"{folder}/recipes").filter("doc_id <> 2").write.parquet(f"file://{tmp_path}/b/recipes")
+    for read in (S.read_digests, S.read_documents):
+        with pytest.raises(ValueError, match="manifest"):
+            read(spark, f"file://{tmp_path}/b").collect()
+
+
 def test_crc32_of_joined_parts():
     from quarry.llm.tokenstore import crc32_joined
 
