@@ -21,9 +21,11 @@ def tune(spark: SparkSession) -> SparkSession:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only where the session
-    has none (tests in local mode) a temporary folder is set as such."""
+    has none in local mode (tests) a temporary folder is set as such; on a cluster that is an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -34,11 +36,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quarry/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd", path: str | None = None) -> DataFrame:
-    """Cut the lineage: write a table in the shared folder and read it back with its own schema."""
-    path = path or new_path(df.sparkSession, name)
+def written_path(df: DataFrame, name: str, compression: str = "zstd") -> tuple[DataFrame, str]:
+    """Cut the lineage: write a table in the shared folder and read it back with its own schema. Its
+    path is for `remove`, once nothing will read the table again."""
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+    return written_path(df, name, compression)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -2,7 +2,8 @@
 
 Both steps need only the smallest neighbour of each node, which is a min() that Spark combines
 before its shuffle, and a join back on the node; no task ever holds a neighbourhood. Rounds end
-when an order-free checksum over the edges stands still. Every round is written to the shared folder.
+when an order-free checksum over the edges stands still. Every round is written to the shared folder, and
+the one before is removed.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import remove, written_path
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -42,13 +43,15 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     """
     u, v = F.col(src), F.col(dst)
     now = edges.filter(u.isNotNull() & v.isNotNull() & (u != v))
-    now = written(now.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
+    now, path = written_path(now.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
     was = _checksum(now)
     for _ in range(max_rounds):
         if not was[0]:
             break
-        now = written(_star(_star(now, True), False), "edges")
+        now, after = written_path(_star(_star(now, True), False), "edges")
         check = _checksum(now)
+        remove(edges.sparkSession, path)
+        path = after
         if check == was:
             break
         was = check

@@ -82,7 +82,7 @@ def _rows(fps: DataFrame, plan) -> DataFrame:
     return fps.select("fp", F.explode(F.expr(f"concat({', '.join(parts)})")).alias("x")).select("x.seg", "x.key", "x.own", "fp")
 
 
-class _Forest:
+class Forest:
     """Union-find over fingerprints; add() tells whether an edge joins two trees."""
 
     def __init__(self) -> None:
@@ -147,7 +147,7 @@ def _linker(distance: int, small: int = 1 << 12, at_once: int = 1 << 21):
             yield a[ok], b[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = _Forest()
+        forest = Forest()
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush(rows) -> Iterator[pa.RecordBatch]:
@@ -212,18 +212,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(F.col("__id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """One row of docs (all columns) for each component: that of the smallest doc_id (null last), of
-    equal ids the first in reading order. Read docs from a table: rows are told apart by their place.
-
-    Rows are named by (doc_id is null, doc_id, place), so a component's name is the name of its kept row."""
-    place = F.monotonically_increasing_id()
-    rows = docs.withColumn("__row", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), place.alias("place")))
-    found = near_duplicates(rows, "__row", words=words, distance=distance)
-    gone = written(found.filter(F.col("__row.place") != F.col("component_id.place")).select(F.col("__row.place").alias("__place")), "gone")
-    rows = docs.withColumn("__place", F.monotonically_increasing_id())
-    return rows.join(gone, "__place", "left_anti").drop("__place")
-
-
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(tune(spark), sf_dir, "documents"))

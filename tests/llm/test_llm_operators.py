@@ -234,8 +234,8 @@ def test_network_gradients_are_those_of_its_loss():
 
     net = Network(3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x, mask = net.batch([b" ab ", b" longer ", b" c "])
-    y = np.array([0, 2, 1])
+    x = np.array([list(b" ab \0\0\0"), list(b" longer"), list(b"\0c c c ")], np.uint8).T
+    mask, y = (x != 0).astype(np.float32), np.array([0, 2, 1])
     _, g = net.gradients(x, mask, y)
     rng = np.random.default_rng(0)
     for k, a in net.p.items():
@@ -280,12 +280,28 @@ def test_languages_of_long_texts_and_many_languages_are_learned(spark, monkeypat
     assert set(L.sample(docs.filter("lang <> 'cc'"))) == {"aa", "bb"}
 
 
-def test_words_keep_their_combining_marks():
-    from quarry.llm.langid import words
+def test_windows_side_by_side_give_the_networks_own_outputs():
+    """Each text alone, in one pass over all of its bytes, against windows of many texts at once."""
+    from quarry.llm import langid as L
 
-    assert words("हिन्दी में 12 सीखना") == ["हिन्दी", "में", "सीखना"] and words("ที่นี่") == ["ที่นี่"]
-    assert words("Cafe\u0301 e\u0301te\u0301") == words("Café été") == ["café", "été"]
-    assert words("x1y ² _a\u0301_") == ["x", "y", "²", "á"] and words("\u0301 12") == []
+    texts = ["a", "12 Größe. " * 3, "x" * L.CORE, "हिन्दी में 12 सीखना " * 20, "word, 7 " * 100, "é" * 500]
+    net = L.train([L.pool(texts[:3]), L.pool(texts[3:])], steps=3)
+    lab = L.Labeller(net, ["aa", "bb"])
+    lab.at_once = 5
+    want = []
+    for t in texts:
+        raw = t.encode()
+        got = lab.positions(t)
+        assert got.shape == (len(raw), 2)  # every byte has a label: signs, digits and white space too
+        sums = got.sum(0) / L.TEMPER
+        want.append(float(np.exp(sums.max()) / np.exp(sums).sum()))
+    assert [s for _, s in lab.label(texts)] == pytest.approx(want, abs=1e-4)
+    alone = [lab.label([t])[0] for t in texts]
+    assert alone == [(k, pytest.approx(s, abs=1e-5)) for k, s in lab.label(texts)]
+    # a text of at most one core and its margins is one window: equal to the network at every position
+    short = "kurz und gut, 12 mal"
+    x = np.frombuffer(bytes(L.MARGIN) + short.encode() + bytes(L.MARGIN + L.CORE - len(short)), np.uint8)[:, None]
+    assert np.allclose(net.log_probs(x)[L.MARGIN : L.MARGIN + len(short), 0], lab.positions(short), atol=1e-4)
 
 
 # Decontamination

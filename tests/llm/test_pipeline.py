@@ -82,11 +82,14 @@ def test_stages_take_an_empty_corpus(spark, corpus):
 
 
 def test_keep_one_of_repeated_rows(spark, tmp_path):
-    from quarry.llm.simhash import keep_one
+    from quarry.llm.simhash_wide import keep_one
 
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "A b c d e f"), (2, "x y z"), (None, None), (3, "")]
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
-    got = keep_one(spark.read.parquet(f"{tmp_path}/d")).collect()
+    shape = "doc_id long, text string, __place int, place int, row int, node int, id int, n int"  # names used inside
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4, 5, 6) for r in rows], shape).repartition(3)  # not a table
+    kept = keep_one(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, [(1, "a b c d e f"), (2, "x y z"), (3, "")]))
 
 
