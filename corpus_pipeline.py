@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import decontam, langid, nearcopies, packing, toxicity
+from quarry.llm import decontam, langid, packing, simhash_wide, toxicity
 from quarry.llm.common import table, tune, written
 
 
@@ -25,9 +25,9 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 5-word shingles to a Jaccard similarity of 0.8 or more,
-    that of the smallest id."""
+    that of the smallest id: candidates by SimHash, verified on the texts."""
     tune(spark)
-    return nearcopies.keep_one(docs)
+    return simhash_wide.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
