@@ -14,7 +14,7 @@ neighbours is ever shuffled. Units of over BLOCK rows are cut into pairs of bloc
 
 Links by distance form groups (connected components), in which the texts themselves decide: pairs
 are compared by their shingles, the nearest first, unless links found before connect them already.
-Groups of over GROUP texts are cut into pairs of blocks, too. No task emits more links than it has
+Groups of over GROUP texts or SHINGLES shingles are cut into pairs of blocks, too. No task emits more links than it has
 texts.
 """
 
@@ -39,7 +39,7 @@ WORDS, LEAST, SEED = 5, 0.8, 42
 #: Bits of a fingerprint; the share of them in which texts of similarity LEAST differ (a little over
 #: what is measured); the chance to find such a pair; the greatest share at which texts are compared.
 BITS, MISS, RECALL, APART = 512, 0.15, 0.99, 0.18
-BLOCK, GROUP = 1 << 16, 512
+BLOCK, GROUP, SHINGLES = 1 << 16, 4096, 1 << 20
 #: Pairs looked at together, and shingles hashed together.
 _PAIRS, _CHUNK = 1 << 20, 1 << 11
 _MIX = [np.uint64(k * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF) for k in range(BITS // 64)]
@@ -250,10 +250,10 @@ def _linker(cut: list[np.ndarray], least: float, large: int = 1 << 24):
     return run
 
 
-def blocks(rows: DataFrame, key: str, sizes: DataFrame, name: Column, most: int) -> DataFrame:
-    """Adds `pair` to rows (repeating them): 0 in groups of at most `most` rows by `key`; a larger group
-    is cut by a hash of `name`, and each pair of its parts has a number of its own. sizes: (key, many)."""
-    hot = written(sizes.filter(F.col("many") > most).select(key, F.ceil(F.col("many") / most).cast("long").alias("nb")), "hot")
+def blocks(rows: DataFrame, key: str, sizes: DataFrame, name: Column) -> DataFrame:
+    """Adds `pair` to rows (repeating them): 0 in groups by `key` that are not in sizes (key, nb); one there
+    is cut into nb parts by a hash of `name`, and each pair of its parts has a number of its own."""
+    hot = written(sizes, "hot")
     me = F.pmod(F.xxhash64(name), F.col("nb"))
     split = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1), lambda j: F.least(me, j) * F.col("nb") + F.greatest(me, j))
     return rows.join(hot, key, "left").withColumn("pair", F.explode(F.when(F.col("nb").isNull(), F.array(F.lit(0).cast("long"))).otherwise(split))).drop("nb")
@@ -262,9 +262,9 @@ def blocks(rows: DataFrame, key: str, sizes: DataFrame, name: Column, most: int)
 def links(nodes: DataFrame, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """nodes (node, n, fp): (a, b) that connect what the links by distance connect."""
     cut = segments(nodes.count())
-    sizes = nodes.select("fp").mapInArrow(_unit_sizes(cut), "unit long, many long").groupBy("unit").agg(F.sum("many").alias("many"))
+    sizes = nodes.select("fp").mapInArrow(_unit_sizes(cut), "unit long, many long").groupBy("unit").agg(F.ceil(F.sum("many") / block).cast("long").alias("nb")).filter("nb > 1")
     rows = nodes.select("node", "n", "fp").mapInArrow(_units(cut), "unit long, node long, n int, fp binary")
-    rows = blocks(rows, "unit", sizes, F.col("node"), block).withColumn("place", F.shiftright("unit", 40).cast("int"))
+    rows = blocks(rows, "unit", sizes, F.col("node")).withColumn("place", F.shiftright("unit", 40).cast("int"))
     rows = rows.select(F.xxhash64("unit", "pair").alias("unit"), "place", "node", "n", "fp")
     rows = rows.repartition(n_partitions(nodes.sparkSession), "unit").sortWithinPartitions("unit", "place")
     return rows.mapInArrow(_linker(cut, least), "a long, b long")
@@ -310,12 +310,14 @@ def _verifier(least: float):
     return run
 
 
-def verified(candidates: DataFrame, texts: DataFrame, least: float = LEAST, group: int = GROUP) -> DataFrame:
-    """candidates (a, b), texts (node, n, fp, text): (a, b) that connect what pairs of similarity `least`
-    or more connect, of texts that the candidates connect."""
-    groups = written(connected_components(candidates, "a", "b"), "groups")
-    units = blocks(groups, "root", groups.groupBy("root").agg(F.count("*").alias("many")), F.col("node"), group).select("node", F.xxhash64("root", "pair").alias("unit"))
-    rows = texts.join(units, "node").select("unit", "node", "n", "fp", "text")
+def verified(candidates: DataFrame, nodes: DataFrame, texts: DataFrame, least: float = LEAST, group: int = GROUP, most: int = SHINGLES) -> DataFrame:
+    """candidates (a, b), nodes (node, n, fp), texts (node, text): (a, b) that connect what pairs of
+    similarity `least` or more connect, of texts that the candidates connect. Only their texts move."""
+    groups = connected_components(candidates, "a", "b")
+    groups = written(groups.join(nodes, "node"), "groups")
+    sizes = groups.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("n") / most)).cast("long").alias("nb")).filter("nb > 1")
+    units = blocks(groups, "root", sizes, F.col("node")).select("node", F.xxhash64("root", "pair").alias("unit"), "n", "fp")
+    rows = texts.join(groups.select("node"), "node", "left_semi").join(units, "node").select("unit", "node", "n", "fp", "text")
     rows = rows.repartition(n_partitions(texts.sparkSession), "unit").sortWithinPartitions("unit")
     return rows.mapInArrow(_verifier(least), "a long, b long")
 
@@ -338,10 +340,10 @@ def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     several = written(entries.select(own, "n", "fp").filter("n > 0").join(nodes.select("node"), "node", "left_semi"), "several")
     found = written(links(several, least), "links")
     texts = numbered.select(F.col("place").alias("node"), F.col("row.text").alias("text"))
-    linked = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-    texts = texts.join(several.join(linked, "node", "left_semi"), "node")
-    parts = connected_components(verified(found, texts, least), "a", "b")
+    parts = connected_components(verified(found, several, texts, least), "a", "b")
     named = nodes.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = written(named.groupBy("root").agg(F.min("least").alias("kept")).select(F.col("kept.place").alias("place")), "kept")
+    kept = named.groupBy("root").agg(F.min("least").alias("kept")).select(F.col("kept.place").alias("place"))
+    places = entries.select(F.col("row.place").alias("place"))
+    gone = written(places.join(kept, "place", "left_anti"), "gone")  # far fewer than are kept, as a rule
     remove(spark, at)
-    return numbered.join(kept, "place", "left_semi").select("row.*")
+    return numbered.join(gone, "place", "left_anti").select("row.*")
