@@ -1,11 +1,18 @@
 """WARC archives: writing captures, and assembling transactions from records.
 
 Each capture is three records: a request, a response (or a revisit of an equal payload) and
-metadata; request and metadata name the response in WARC-Concurrent-To. Records are laid out by
-column expressions and written by Spark's text writer with gzip, so archives live wherever Spark can
-write. Reading takes archives whole (their size is bounded by records per file), streams through
-the gzip, and follows Content-Length, so payloads may hold anything. Only headers and digests of
-records are shuffled when transactions are put together.
+metadata; request and metadata name the response in WARC-Concurrent-To. Every record is a gzip
+member of its own, as readers of WARC files expect, and files end in .warc.gz. Reading takes files
+whole (their size is bounded in bytes), streams through the members and follows Content-Length, so
+payloads may hold anything.
+
+Payloads are compressed before anything else and never shuffled as they are: which captures are
+revisits is found from digests alone, and only headers and digests meet when transactions are put
+together.
+
+Spark's text sink writes the files, so they may lie wherever Spark can write. It ends each row with a
+separator; a row is a run of gzip members without its last byte, and the separator is that byte: the
+length at the end of a member is little-endian, so its last byte is zero.
 """
 
 from __future__ import annotations
@@ -13,55 +20,121 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import uuid
+import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import new_path, table, tune
+from quarry.llm.common import new_path, table, tune, written
 
-LEAST_REVISIT, RECORDS_PER_FILE, DATE = 100, 6000, "2024-01-01T00:00:00Z"
-_END = "\r\n"
+LEAST_REVISIT, DATE, LEVEL = 100, "2024-01-01T00:00:00Z", 6
+#: A row of the sink holds members of so many bytes, or one capture; a file holds so many rows.
+ROW_BYTES, ROWS_PER_FILE = 4 << 20, 16
+SUFFIX = ".warc.gz"
 
 
-def _record_id(uid: Column, kind: str) -> Column:
-    h = F.md5(F.concat_ws(" ", F.lit(kind), uid).cast("binary"))
-    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+def member(block: bytes) -> bytes:
+    z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return z.compress(block) + z.flush()
 
 
-def _record(kind: Column | str, record_id: Column, uri: Column, content: str, block: Column, *more: Column) -> Column:
-    """more: further header lines, null where there is none. Without the last line feed, which the writer adds."""
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    heads = [F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), kind), F.concat(F.lit("WARC-Record-ID: "), record_id), F.lit(f"WARC-Date: {DATE}"), F.concat(F.lit("WARC-Target-URI: "), uri), *more, F.lit(f"Content-Type: {content}"), F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string"))]
-    return F.concat(F.concat_ws(_END, *heads), F.lit(_END + _END), block, F.lit(_END + "\r"))
+def _record_id(salt: str, uid: int, kind: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{salt} {kind} {uid}'.encode()).hexdigest())}>"
 
 
-def write_archives(pages: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FILE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
+def _record(kind: str, record_id: str, uri: str | None, content: str, block: bytes, *more: str) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {DATE}"]
+    if uri is not None:
+        lines.append(f"WARC-Target-URI: {uri}")
+    lines += [*more, f"Content-Type: {content}", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(lines).encode("utf-8", "surrogatepass") + block + b"\r\n\r\n"
+
+
+def _http(n: int) -> bytes:
+    return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
+
+
+def _responses(salt: str):
+    """uid, page_id, url, html -> uid, page_id, url, n, digest, member: each page as a response."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ns, digests, members = [], [], []
+            for uid, url, html in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                raw = (html or "").encode("utf-8", "surrogatepass")
+                ns.append(len(raw))
+                digests.append(hashlib.sha256(raw).hexdigest())
+                members.append(member(_record("response", _record_id(salt, uid, "response"), url, "application/http; msgtype=response", _http(len(raw)) + raw, f"WARC-Payload-Digest: sha256:{digests[-1]}")))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(ns, pa.int64()), pa.array(digests, pa.string()), pa.array(members, pa.binary())], ["uid", "page_id", "url", "n", "digest", "member"])
+
+    return run
+
+
+def _rows(salt: str):
+    """Captures -> rows of the sink: the members of request, response or revisit, and metadata."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for uid, page_id, url, n, digest, response, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                me = _record_id(salt, uid, "response")
+                to_me = f"WARC-Concurrent-To: {me}"
+                if first is not None:
+                    response = member(
+                        _record(
+                            "revisit", me, url, "application/http; msgtype=response", _http(n), f"WARC-Payload-Digest: sha256:{digest}",
+                            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_record_id(salt, first, 'response')}",
+                        )
+                    )
+                request = member(_record("request", _record_id(salt, uid, "request"), url, "application/http; msgtype=request", f"GET {url if url is not None else '/'} HTTP/1.1\r\n\r\n".encode("utf-8", "surrogatepass"), to_me))
+                fields = b"" if page_id is None else f"page-id: {quote(page_id)}\r\n".encode()
+                capture = request + response + member(_record("metadata", _record_id(salt, uid, "metadata"), url, "application/warc-fields", fields, to_me))
+                if held and size + len(capture) > ROW_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+                    held, size = [], 0
+                held.append(capture)
+                size += len(capture)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+
+    return run
+
+
+def _rename(spark: SparkSession, folder: str) -> None:
+    """Give the sink's files their suffix; names alone change, one file in some tens of megabytes."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.globStatus(path(f"{folder}/part-*.txt")) or []:
+        if not fs.rename(f.getPath(), path(f.getPath().toString().removesuffix(".txt") + SUFFIX)):
+            raise OSError(f"could not rename {f.getPath()}")
+
+
+def write_archives(pages: DataFrame, folder: str, rows_per_file: int = ROWS_PER_FILE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> str:
     """Write every row of pages as a capture.
 
     Of equal payloads of LEAST_REVISIT bytes or more the smallest id (null last, then the first row) is
-    the response, the others revisit it. Null html is empty; a null url has no Target-URI; line
-    breaks in a url are escaped; repeated rows are captures of their own; other columns are ignored.
+    the response, the others revisit it. Ids of any type that casts to a string will do. Null html is
+    empty; a null url has no Target-URI; line breaks in a url are escaped; repeated rows are captures
+    of their own; other columns are ignored; an empty table gives no records.
     """
-    raw = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("page_id"), F.regexp_replace(F.regexp_replace(F.col(url_col), "\r", "%0D"), "\n", "%0A").alias("url"), raw.alias("html"), F.sha2(raw.cast("binary"), 256).alias("digest"))
-    seen = rows.filter(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid")).alias("of"), F.count("*").alias("n"))
-    rows = rows.join(seen.filter("n > 1").select("digest", F.col("of.uid").alias("first")), "digest", "left")
-    again, uid, uri = F.col("first").isNotNull() & (F.col("first") != F.col("uid")) & (F.octet_length("html") >= LEAST_REVISIT), F.col("uid"), F.col("url")
-    me = _record_id(uid, "response")
-    to_me = F.concat(F.lit("WARC-Concurrent-To: "), me)
-    head = F.concat(F.lit(f"HTTP/1.1 200 OK{_END}Content-Type: text/html; charset=utf-8{_END}Content-Length: "), F.octet_length("html").cast("string"), F.lit(_END + _END))
-    response = _record(
-        F.when(again, "revisit").otherwise("response"), me, uri, "application/http; msgtype=response", F.when(again, head).otherwise(F.concat(head, F.col("html"))),
-        F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
-        F.when(again, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.when(again, F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("first"), "response"))),
-    )
-    request = _record("request", _record_id(uid, "request"), uri, "application/http; msgtype=request", F.concat(F.lit("GET "), F.coalesce(uri, F.lit("/")), F.lit(f" HTTP/1.1{_END}{_END}")), to_me)
-    meta = _record("metadata", _record_id(uid, "metadata"), uri, "application/warc-fields", F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(_END)), to_me)
-    out = rows.select(F.explode(F.array(request, response, meta)).alias("value"))
-    out.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", records_per_file).text(folder)
+    spark, salt = pages.sparkSession, uuid.uuid4().hex
+    url = F.regexp_replace(F.regexp_replace(F.col(url_col), "\r", "%0D"), "\n", "%0A")
+    rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("page_id"), url.alias("url"), F.col(html_col).alias("html"))
+    kind = pages.schema[id_col].dataType.simpleString()
+    found = written(rows.mapInArrow(_responses(salt), f"uid long, page_id {kind}, url string, n long, digest string, member binary"), "captures")
+    again = found.filter(F.col("n") >= LEAST_REVISIT).select("digest", "uid", "page_id")
+    firsts = again.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid")).alias("of"), F.count("*").alias("many"))
+    firsts = firsts.filter("many > 1").select("digest", F.col("of.uid").alias("first"))
+    revisits = written(again.join(firsts, "digest").filter("uid <> first").select("uid", "first"), "revisits")
+    # revisits need no payload, so none of theirs goes on
+    out = found.join(revisits, "uid", "left").select("uid", F.col("page_id").cast("string"), "url", "n", "digest", F.when(F.col("first").isNull(), F.col("member")), "first")
+    out = out.mapInArrow(_rows(salt), "value binary").select(F.col("value").cast("string"))
+    out.write.option("compression", "none").option("lineSep", "\0").option("maxRecordsPerFile", rows_per_file).text(folder)
+    _rename(spark, folder)
     return folder
 
 
@@ -84,20 +157,24 @@ def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 #: The columns of a record: page_id from metadata, n_bytes and payload from responses.
-_FIELDS = "record_id string, kind string, concurrent_to string, refers_to string, uri string, declared string, page_id long, n_bytes long, digest string, payload binary"
+_FIELDS = "record_id string, kind string, concurrent_to string, refers_to string, uri string, declared string, page_id string, n_bytes long, digest string, payload binary"
 
 
-def records(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
-    """One row per record in a folder of archives. A response's digest is computed from its payload
-    and held against the declared one; payloads themselves come along if asked for."""
+def records(spark: SparkSession, folder: str, payloads: bool = False, id_type: str = "long") -> DataFrame:
+    """One row per record in a folder of archives, gzip or plain. A response's digest is computed from
+    its payload and held against the declared one; payloads themselves come along if asked for."""
     names = [x.split()[0] for x in _FIELDS.split(", ")]
+    kinds = [pa.string()] * 7 + [pa.int64(), pa.string(), pa.binary()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 6 + [pa.int64(), pa.int64(), pa.string(), pa.binary()]
         rows: list[tuple] = []
         for b in batches:
             for content in b.column(0).to_pylist():
-                for h, block in parse(gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)):
+                raw = io.BytesIO(content)
+                for h, block in parse(io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 16) if content[:2] == b"\x1f\x8b" else raw):
                     kind, page, n, digest, body = h["warc-type"], None, None, None, None
                     declared = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
                     if kind == "response":
@@ -107,14 +184,15 @@ def records(spark: SparkSession, folder: str, payloads: bool = False) -> DataFra
                             raise ValueError(f"payload of {h['warc-record-id']} is damaged")
                     elif kind == "metadata":
                         fields = dict(x.split(b": ", 1) for x in block.split(b"\r\n") if b": " in x)
-                        page = int(fields[b"page-id"]) if fields.get(b"page-id") else None
+                        page = unquote(fields[b"page-id"].decode()) if b"page-id" in fields else None
                     rows.append((h["warc-record-id"], kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), declared, page, n, digest, body if payloads else None))
                     if len(rows) >= 256:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+                        yield batch(rows)
                         rows = []
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+        yield batch(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content").mapInArrow(run, _FIELDS)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(folder).select("content").mapInArrow(run, _FIELDS)
+    return found.withColumn("page_id", F.col("page_id").cast(id_type))
 
 
 def captures(found: DataFrame) -> DataFrame:
@@ -134,14 +212,19 @@ def captures(found: DataFrame) -> DataFrame:
 
 
 def resolved(transactions: DataFrame) -> DataFrame:
-    """Adds `of`, the capture whose payload a revisit repeats: its page_id, n_bytes and digest."""
+    """Adds `of`, the capture whose payload a revisit repeats: its page_id, n_bytes and digest. Only
+    revisits are joined; transactions are read twice, so write them first."""
     first = transactions.filter("response.kind = 'response'").select(F.col("response.id").alias("to"), F.struct("page_id", "response.n_bytes", "response.digest").alias("of"))
-    return transactions.join(first, F.col("response.refers_to") == F.col("to"), "left").drop("to")
+    again = F.coalesce(F.col("response.kind") == "revisit", F.lit(False))
+    revisits = transactions.filter(again).join(first, F.col("response.refers_to") == F.col("to"), "left").drop("to")
+    return revisits.unionByName(transactions.filter(~again).withColumn("of", F.lit(None).cast(first.schema["of"].dataType)))
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
-    folder = write_archives(table(tune(spark), sf_dir, "pages"), new_path(spark, "warc"))
-    rows = resolved(captures(records(spark, folder)).filter("response is not null"))
+    pages = table(tune(spark), sf_dir, "pages")
+    folder = write_archives(pages, new_path(spark, "warc"))
+    found = records(spark, folder, id_type=pages.schema["page_id"].dataType.simpleString())
+    rows = resolved(written(captures(found).filter("response is not null"), "transactions"))
     return rows.select(
         "page_id",
         F.coalesce("response.n_bytes", "of.n_bytes").alias("payload_bytes"),

@@ -435,7 +435,7 @@ def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "ä" * 100 + "\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n"
     rows = [(5, "http://a/1", big), (3, "http://a/2", big), (9, "http://a/3", "tiny"), (4, "http://a/4", "tiny"), (7, None, None), (8, "http://x\r\ny", "z" * 100_000), (3, "http://a/2", big), (None, "http://n", big)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, uid string").repartition(3)
-    folder = W.write_archives(df, f"file://{tmp_path}/warc", records_per_file=4)
+    folder = W.write_archives(df, f"file://{tmp_path}/warc", rows_per_file=1)
     caps = W.captures(W.records(spark, folder, payloads=True)).collect()
     assert len(caps) == len(rows) and all(c["request"] and c["response"] and c["metadata"] for c in caps)
     kinds = Counter((c["page_id"], c["response"]["kind"]) for c in caps)
@@ -444,10 +444,38 @@ def test_warc_round_trip(spark, tmp_path):
     assert bytes(first["response"]["payload"]).decode() == big and first["response"]["digest"] == hashlib.sha256(big.encode()).hexdigest()
     of = W.resolved(W.captures(W.records(spark, folder))).filter("response.kind = 'revisit'").collect()
     assert len(of) == 3 and all(r["of"]["page_id"] == 3 and r["of"]["n_bytes"] == len(big.encode()) for r in of)
+    # one gzip member for each record, in files that name themselves
+    files = sorted((tmp_path / "warc").glob("part-*"))
+    assert files and all(f.name.endswith(".warc.gz") for f in files)
+    members = 0
+    for f in files:
+        raw = f.read_bytes()
+        while raw:
+            z = zlib.decompressobj(31)
+            block = z.decompress(raw)
+            assert z.eof and block.startswith(b"WARC/1.1\r\n") and block.endswith(b"\r\n\r\n")
+            raw, members = z.unused_data, members + 1
+    assert members == 3 * len(rows)
+    named = df.selectExpr("concat('a b\n%', page_id) AS page_id", "url", "html")
+    folder = W.write_archives(named, f"file://{tmp_path}/named")
+    got = W.captures(W.records(spark, folder, id_type="string")).collect()
+    assert Counter(c["page_id"] for c in got) == Counter(None if r[0] is None else f"a b\n%{r[0]}" for r in rows)
     none = W.write_archives(df.limit(0), f"file://{tmp_path}/none")
     assert W.captures(W.records(spark, none)).count() == 0
 
 
+def test_warc_rows_end_by_bytes(spark, tmp_path):
+    """Captures of more than ROW_BYTES are rows of their own; others share one."""
+    from quarry.llm import warc as W
+
+    rng = np.random.default_rng(5)
+    rows = [(i, f"http://a/{i}", rng.bytes(size).hex()) for i, size in enumerate([10, 10, 3 << 20, 10, 9 << 20, 10])]
+    folder = W.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/big", rows_per_file=1)
+    assert len([f for f in (tmp_path / "big").glob("part-*") if f.stat().st_size]) >= 3
+    got = {c["page_id"]: c["response"]["digest"] for c in W.captures(W.records(spark, folder)).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, _, t in rows}
+
+
 # Chat
 
 
