@@ -3,8 +3,8 @@
 `write_container` stores bytes as uncompressed video: frames of 8 x 8 pixels of three 8-bit samples
 (192 bytes), sample entry `raw `, in a file of ftyp, mdat and moov boxes with full sample tables.
 `read_container` walks the nested boxes of any such file, decodes the sample tables (stts, stsc,
-stsz, stco/co64, stss) and gives codec, duration and the byte ranges of samples and keyframes; the
-payload is not decoded. Files have no times or names of their own, so equal payloads give equal files.
+stsz/stz2, stco/co64, stss) and gives codec, duration and the byte ranges of samples and keyframes; the
+payload is not decoded. Fragmented files, whose samples are listed outside moov, are an error. Files have no times or names of their own, so equal payloads give equal files.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import table, tune
+from quarry.llm.common import table, tune, written
 
 SIDE, CHANNELS, RATE, CHUNK_FRAMES = 8, 3, 25, 16
+#: In media columns every so many frames one is marked as a keyframe.
+SYNC_EVERY = 12
 FRAME = SIDE * SIDE * CHANNELS
 PAD = b"\x20"
 #: Boxes that hold boxes.
@@ -104,11 +106,18 @@ def _numbers(data: memoryview, at: int, kind: str, n: int) -> np.ndarray:
 
 def _track(data: memoryview, boxes: dict[bytes, tuple[int, int]]) -> dict:
     u4 = lambda kind, at=4: struct.unpack_from(">I", data, boxes[kind][0] + at)[0]
+    handler = bytes(data[boxes[b"hdlr"][0] + 8 : boxes[b"hdlr"][0] + 12]).decode("latin-1") if b"hdlr" in boxes else ""
     codec = bytes(data[boxes[b"stsd"][0] + 12 : boxes[b"stsd"][0] + 16]).decode("latin-1")
     at = boxes[b"mdhd"][0]
     scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
-    size, n = u4(b"stsz"), u4(b"stsz", 8)
-    sizes = np.full(n, size, np.int64) if size else _numbers(data, boxes[b"stsz"][0] + 12, ">u4", n)
+    if b"stsz" in boxes:
+        size, n = u4(b"stsz"), u4(b"stsz", 8)
+        sizes = np.full(n, size, np.int64) if size else _numbers(data, boxes[b"stsz"][0] + 12, ">u4", n)
+    else:  # compact sizes, of 4, 8 or 16 bits
+        bits, n = u4(b"stz2") & 255, u4(b"stz2", 8)
+        sizes = _numbers(data, boxes[b"stz2"][0] + 12, ">u2" if bits == 16 else ">u1", n if bits > 4 else -(-n // 2))
+        if bits == 4:
+            sizes = np.stack([sizes >> 4, sizes & 15], axis=1).reshape(-1)[:n]
     wide = b"co64" in boxes
     table_ = b"co64" if wide else b"stco"
     chunks = _numbers(data, boxes[table_][0] + 8, ">u8" if wide else ">u4", u4(table_))
@@ -124,14 +133,17 @@ def _track(data: memoryview, boxes: dict[bytes, tuple[int, int]]) -> dict:
     if steps[:, 0].sum() != n:
         raise ValueError("stts and stsz differ")
     sync = _numbers(data, boxes[b"stss"][0] + 8, ">u4", u4(b"stss")) - 1 if b"stss" in boxes else np.arange(n)
-    return {"codec": codec, "timescale": scale, "duration": duration, "decoded": int((steps[:, 0] * steps[:, 1]).sum()), "starts": starts, "sizes": sizes, "keys": sync}
+    return {"codec": codec, "handler": handler, "timescale": scale, "duration": duration, "decoded": int((steps[:, 0] * steps[:, 1]).sum()), "starts": starts, "sizes": sizes, "keys": sync}
 
 
 def read_container(media: bytes) -> list[dict]:
-    """One dict per track: codec, timescale, duration (both as declared), decoded (the sum of sample
-    durations), starts and sizes of samples (bytes), keys (numbers of keyframes)."""
+    """One dict per track: codec, handler, timescale, duration (both as declared), decoded (the sum of
+    sample durations), starts and sizes of samples (bytes), keys (numbers of keyframes). Damaged and
+    fragmented files are a ValueError."""
     data, tracks = memoryview(media), []
     for path, at, end in walk(data):
+        if path in ((b"moof",), (b"moov", b"mvex")):
+            raise ValueError("a fragmented file")
         if path == (b"moov", b"trak"):
             tracks.append({})
         elif path[:2] == (b"moov", b"trak"):
@@ -160,35 +172,48 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            media = pa.array([write_container(padded(r)) for r in raw], pa.binary())
+            media = pa.array([write_container(padded(r), SYNC_EVERY) for r in raw], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in raw], pa.int64()), media], ["id", "n_bytes", "media"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Reads a media column back. Per row: id, n_bytes, codec, duration (seconds), n_samples, keyframes
-    (byte ranges), and checksums of the stored form and of the payload found through its tables."""
+    """Reads a media column back. Per row: id, n_bytes, n_tracks, codec, duration (seconds), n_samples,
+    n_keyframes, keyframes (byte ranges), and checksums of the stored form and of the payload found
+    through its tables.
+
+    Of several tracks the first one of pictures counts, else the first. Null media have nulls, a file
+    without tracks has nulls but for its own size and checksum; a damaged or fragmented file is an error.
+    """
     kind = media.schema[id_col].dataType.simpleString()
-    shape = f"id {kind}, n_bytes long, codec string, duration double, n_samples long, keyframes array<struct<first:long,end:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+    shape = f"id {kind}, n_bytes long, n_tracks long, codec string, duration double, n_samples long, n_keyframes long, keyframes array<struct<first:long,end:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+    names = [x.split()[0] for x in shape.split(", ")]
+    kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), _RANGES, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+
+    def row(raw: bytes | None) -> tuple:
+        if raw is None:
+            return (None,) * len(kinds)
+        tracks = read_container(raw)
+        stored = (len(raw), hashlib.sha256(raw).hexdigest())
+        if not tracks:
+            return (0, *(None,) * (len(kinds) - 3), *stored)
+        t = next((t for t in tracks if t["handler"] == "vide"), tracks[0])
+        payload = b"".join(raw[x:y] for x, y in ranges(t["starts"], t["sizes"]))
+        keys = [{"first": x, "end": y} for x, y in ranges(t["starts"][t["keys"]], t["sizes"][t["keys"]])]
+        return (len(tracks), t["codec"], t["decoded"] / t["timescale"], len(t["sizes"]), len(t["keys"]), keys, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for raw in b.column(2).to_pylist():
-                (t,) = read_container(raw)
-                payload = b"".join(raw[x:y] for x, y in ranges(t["starts"], t["sizes"]))
-                keys = [{"first": x, "end": y} for x, y in ranges(t["starts"][t["keys"]], t["sizes"][t["keys"]])]
-                rows.append((t["codec"], t["decoded"] / t["timescale"], len(t["sizes"]), keys, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest()))
-            kinds = (pa.string(), pa.float64(), pa.int64(), _RANGES, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["id", "n_bytes", "codec", "duration", "n_samples", "keyframes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"])
+            rows = [row(raw) for raw in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
 
     return media.select(F.col(id_col).alias("id"), "n_bytes", "media").mapInArrow(run, shape).withColumnRenamed("id", id_col)
 
 
 def op4_media_columns(spark, sf_dir: str) -> DataFrame:
-    found = features(media_column(table(tune(spark), sf_dir, "documents")))
+    stored = written(media_column(table(tune(spark), sf_dir, "documents")), "media")
+    found = features(stored)
     spans = F.concat_ws(",", F.transform("keyframes", lambda k: F.concat_ws("-", k["first"], k["end"])))
-    feature = F.concat_ws("|", "codec", F.round("duration", 6), "n_samples", spans)
+    feature = F.concat_ws("|", "codec", F.round("duration", 6), "n_samples", "n_keyframes", spans)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
