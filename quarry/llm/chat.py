@@ -107,7 +107,7 @@ def read_loss(segments: Column) -> Column:
 def digests(formatted: DataFrame, template: dict = TEMPLATE) -> DataFrame:
     """Reads the output back: turns from the formatted text, loss from the segments' flags."""
     whole = F.array_join(F.transform("segments", lambda s: s["text"]), "")
-    rows = formatted.select("conv_id", "segments", whole.alias("f")).withColumn("turns", read_turns(F.col("f"), template)).withColumn("loss", read_loss(F.col("segments")))
+    rows = formatted.select("conv_id", "segments", "valid", "end_state", whole.alias("f")).withColumn("turns", read_turns(F.col("f"), template)).withColumn("loss", read_loss(F.col("segments")))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return rows.select(
         "conv_id",
@@ -116,6 +116,8 @@ def digests(formatted: DataFrame, template: dict = TEMPLATE) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("f").cast("long").alias("formatted_chars"),
+        "valid",
+        "end_state",
     )
 
 
@@ -131,18 +133,24 @@ def op9_chat_formatting(spark, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH rows AS (
+WITH RECURSIVE rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+moves(state, role, next) AS (VALUES ('start', 'system', 'told'), ('start', 'user', 'asked'), ('told', 'user', 'asked'), ('asked', 'assistant', 'answered'), ('answered', 'user', 'asked')),
+turns AS (SELECT conv_id, list(role ORDER BY turn NULLS FIRST, role, text) AS roles FROM rows GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, roles, 0 AS k, 'start' AS state FROM turns
+  UNION ALL SELECT conv_id, roles, k + 1, coalesce(next, 'error') FROM walk LEFT JOIN moves ON moves.state = walk.state AND moves.role = roles[k + 1] WHERE k < len(roles)),
+ends AS (SELECT conv_id, state AS end_state FROM walk WHERE k = len(roles)),
 sized AS (
   SELECT *, length(text) + length(regexp_replace(text, '[^\[\]<\\]', '', 'g'))
     + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9
       ELSE 14 + length(role) + length(regexp_replace(role, '[^\[\]<\\]', '', 'g')) END AS n
   FROM rows)
-SELECT conv_id, count(*) AS n_turns,
+SELECT sized.conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(3 + sum(n) AS BIGINT) AS formatted_chars
-FROM sized GROUP BY conv_id
+  CAST(3 + sum(n) AS BIGINT) AS formatted_chars, end_state = 'answered' AS valid, end_state
+FROM sized JOIN ends ON ends.conv_id IS NOT DISTINCT FROM sized.conv_id GROUP BY sized.conv_id, end_state
 """
