@@ -8,8 +8,9 @@ manifest row with the Merkle root over its documents.
 Folders of a store (all Parquet, written by Spark alone):
   segments/   digest, n, body (a width byte, 2 or 4, then little-endian ids; null in rows that only
               refer to a chunk), and for each use of a chunk doc_id, uid, k
-  recipes/    doc_id, uid, n_tokens, part, local_start, root, chunks array<struct<digest, n>>, by doc_id
-  manifest/   part, n_docs, n_tokens, base, root
+  recipes/    doc_id, uid, n_tokens, part, at, local_start, root, chunks array<struct<digest, n>>, by doc_id;
+              at and local_start count the documents and ids before it in its file
+  manifest/   part, n_docs, n_tokens, base, root (of the Merkle tree over its documents)
 
 Chunk bodies cross the network once. A task sends a body once; later uses of the same chunk are sent
 without it and are dealt by document, so a text that a third of all documents share loads no task.
@@ -34,6 +35,8 @@ from quarry.llm.common import n_partitions, new_path, table, tune
 END_ID, VOCABULARY = 1, "word_bpe_49k.json"
 #: Chunk lengths in ids: at least, about (a power of 2), at most.
 LEAST, ABOUT, MOST = 64, 512, 4096
+#: Documents in a block of a manifest's tree.
+TREE = 1024
 #: Digests that a task remembers as sent; forgetting one costs a repeated body, nothing else.
 _SENT = 200_000
 
@@ -173,27 +176,41 @@ def _lists(column: pa.Array, *fields: str) -> tuple[list[int], list[list]]:
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    part, start = TaskContext.get().partitionId(), 0
+    part, start, before = TaskContext.get().partitionId(), 0, 0
     for b in batches:
         n = b.column("n_tokens").to_pylist()
         at, (names,) = _lists(b.column("chunks"), "digest")
         roots = [merkle(names[x:y]) for x, y in zip(at, at[1:], strict=False)]
         starts = start + np.cumsum([0, *n])
         start = int(starts[-1])
-        cols = [b.column("doc_id"), b.column("uid"), b.column("n_tokens"), pa.array([part] * len(n), pa.int32()), pa.array(starts[:-1], pa.int64()), pa.array(roots, pa.binary()), b.column("chunks")]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "n_tokens", "part", "local_start", "root", "chunks"])
+        cols = [b.column("doc_id"), b.column("uid"), b.column("n_tokens"), pa.array([part] * len(n), pa.int32()), pa.array(np.arange(before, before + len(n)), pa.int64()), pa.array(starts[:-1], pa.int64()), pa.array(roots, pa.binary()), b.column("chunks")]
+        before += len(n)
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "uid", "n_tokens", "part", "at", "local_start", "root", "chunks"])
 
 
-def _part_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        roots = [merkle([hashlib.blake2b(b"\3" + x["root"], digest_size=16).digest() for x in row]) for row in b.column("docs").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("part"), b.column("n_docs"), b.column("n_tokens"), pa.array(roots, pa.binary())], ["part", "n_docs", "n_tokens", "root"])
+def _roots(leaf: bool):
+    """Rows (..., list of (place, root)) -> Merkle roots of the lists; leaves are hashed first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [[x["root"] for x in row] for row in b.column("below").to_pylist()]
+            if leaf:
+                lists = [[hashlib.blake2b(b"\3" + x, digest_size=16).digest() for x in row] for row in lists]
+            names = [*b.schema.names[:-1], "root"]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([merkle(row) for row in lists], pa.binary())], names)
+
+    return run
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
-    """part, n_docs, n_tokens, base, root (Merkle, over the roots of its documents) of each file of recipes."""
-    parts = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("local_start", "root"))).alias("docs"))
-    parts = parts.mapInArrow(_part_roots, "part int, n_docs long, n_tokens long, root binary")
+    """part, n_docs, n_tokens, base, root of each file of recipes. Its Merkle tree stands over blocks of
+    TREE documents, a power of 2, so that no row lists more than TREE roots or the roots of all blocks of a file."""
+    parts = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    block = F.floor(F.col("at") / TREE).alias("block")
+    low = recipes.groupBy("part", block).agg(F.sort_array(F.collect_list(F.struct("at", "root"))).alias("below"))
+    low = low.mapInArrow(_roots(True), "part int, block long, root binary")
+    top = low.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("block", "root"))).alias("below"))
+    parts = parts.join(top.mapInArrow(_roots(False), "part int, root binary"), "part")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each file
     return parts.select("part", "n_docs", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"), "root")
 
@@ -215,7 +232,7 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None, end_id: i
     listed = uses.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("k", "digest", "n"))).alias("c"))
     listed = listed.select("doc_id", "uid", "n_tokens", F.transform("c", lambda x: F.struct(x["digest"].alias("digest"), x["n"].alias("n"))).alias("chunks"))
     ordered = listed.repartitionByRange(n, "doc_id", "uid").sortWithinPartitions("doc_id", "uid")
-    shape = f"doc_id {kind}, uid long, n_tokens long, part int, local_start long, root binary, chunks array<struct<digest:binary,n:int>>"
+    shape = f"doc_id {kind}, uid long, n_tokens long, part int, at long, local_start long, root binary, chunks array<struct<digest:binary,n:int>>"
     ordered.mapInArrow(_recipes, shape).write.option("compression", "zstd").parquet(f"{folder}/recipes")
     recipes = spark.read.schema(shape).parquet(f"{folder}/recipes")
     parts = _manifest(recipes)
