@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import new_path, table, tune, written
+from quarry.llm.common import new_path, remove, table, tune, written, written_path
 
 LEAST_REVISIT, DATE, LEVEL = 100, "2024-01-01T00:00:00Z", 6
 #: A row of the sink holds members of so many bytes, or one capture; a file holds so many rows.
@@ -125,16 +125,18 @@ def write_archives(pages: DataFrame, folder: str, rows_per_file: int = ROWS_PER_
     url = F.regexp_replace(F.regexp_replace(F.col(url_col), "\r", "%0D"), "\n", "%0A")
     rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("page_id"), url.alias("url"), F.col(html_col).alias("html"))
     kind = pages.schema[id_col].dataType.simpleString()
-    found = written(rows.mapInArrow(_responses(salt), f"uid long, page_id {kind}, url string, n long, digest string, member binary"), "captures")
+    found, captured = written_path(rows.mapInArrow(_responses(salt), f"uid long, page_id {kind}, url string, n long, digest string, member binary"), "captures")
     again = found.filter(F.col("n") >= LEAST_REVISIT).select("digest", "uid", "page_id")
     firsts = again.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "uid")).alias("of"), F.count("*").alias("many"))
     firsts = firsts.filter("many > 1").select("digest", F.col("of.uid").alias("first"))
-    revisits = written(again.join(firsts, "digest").filter("uid <> first").select("uid", "first"), "revisits")
+    revisits, repeated = written_path(again.join(firsts, "digest").filter("uid <> first").select("uid", "first"), "revisits")
     # revisits need no payload, so none of theirs goes on
     out = found.join(revisits, "uid", "left").select("uid", F.col("page_id").cast("string"), "url", "n", "digest", F.when(F.col("first").isNull(), F.col("member")), "first")
     out = out.mapInArrow(_rows(salt), "value binary").select(F.col("value").cast("string"))
     out.write.option("compression", "none").option("lineSep", "\0").option("maxRecordsPerFile", rows_per_file).text(folder)
     _rename(spark, folder)
+    remove(spark, captured)
+    remove(spark, repeated)
     return folder
 
 
