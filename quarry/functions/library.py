@@ -395,7 +395,7 @@ for _names, _f in {
     ("subtract", "-"): lambda a, b: _c(a) - _c(b),
     ("multiply", "*"): lambda a, b: _c(a) * _c(b),
     ("divide", "/", "fdiv"): lambda a, b: F.try_divide(_d(a), _d(b)),
-    ("//",): lambda a, b: F.when(_c(b) != 0, (_c(a) - _c(a) % F.nullif(_c(b), F.lit(0))) / F.nullif(_c(b), F.lit(0))).cast("long"),
+    ("//",): lambda a, b: F.call_function("div", _c(a), F.nullif(_c(b), F.lit(0))),
     ("mod", "%", "fmod"): lambda a, b: _c(a) % F.nullif(_c(b), F.lit(0)),
     ("&",): lambda a, b: _c(a).bitwiseAND(_c(b)),
     ("|",): lambda a, b: _c(a).bitwiseOR(_c(b)),
@@ -405,8 +405,6 @@ for _names, _f in {
     (">>",): lambda a, n: F.shiftright(_c(a), n),
     ("least",): F.least,
     ("greatest",): F.greatest,
-    ("random",): F.rand,
-    ("setseed",): lambda s: F.lit(None),
     ("uuid", "gen_random_uuid"): F.uuid,
     ("hash",): lambda *x: F.xxhash64(*x),
     ("error",): lambda m: F.raise_error(m),
@@ -433,7 +431,24 @@ def gcd(x, y) -> Column:
 
 @named("least_common_multiple", "lcm")
 def lcm(x, y) -> Column:
-    return F.when((_c(x) == 0) | (_c(y) == 0), F.lit(0).cast("long")).otherwise(F.abs(_c(x) * _c(y)).cast("long") / gcd(x, y)).cast("long")
+    """Divides before it multiplies, so that it overflows only where its result does."""
+    d = gcd(x, y)
+    return F.when((_c(x) == 0) | (_c(y) == 0), F.lit(0).cast("long")).otherwise(F.abs(F.call_function("div", _c(x).cast("long"), F.nullif(d, F.lit(0))) * _c(y).cast("long")))
+
+
+_SEED: list[int] = []
+
+
+@named("setseed")
+def setseed(seed: float) -> Column:
+    """random() that is named after this starts from the seed."""
+    _SEED[:] = [int(seed * (1 << 31))]
+    return F.lit(None)
+
+
+@named("random")
+def random() -> Column:
+    return F.rand(_SEED.pop()) if _SEED else F.rand()
 
 
 #: Coefficients of a Lanczos approximation with g = 7, fixed values.

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.storage import written
+
 
 def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: list[tuple[str, str]] = (), how: str = "inner", op: str = ">=") -> DataFrame:
     """For each left row the nearest right row of equal `by` columns with left_ts `op` right_ts.
@@ -18,7 +20,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by
     the greatest by its other columns wins. Rows with a null key or time match nothing.
 
     Rows of one key make one window, which spills but is not split; where a key holds a large share
-    of all rows, use asof_join_within.
+    of all rows, use asof_join_within. Without keys the stream is cut by time into as many ranges as
+    there are shuffle partitions, and each range takes over the last right row of those before it.
     """
     back = op in (">=", ">")
     keys = [f"__k{i}" for i in range(len(by))]
@@ -32,7 +35,8 @@ def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    both = lside.unionByName(rside).withColumn("__m", F.last("__r", ignorenulls=True).over(w))
+    both = lside.unionByName(rside)
+    both = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w)) if keys else _carried(both, time, [time, side, F.col("__r")])
     both = both.withColumn("__m", F.when(known & F.col("__ts").isNotNull(), F.col("__m")))
     if how == "right":
         hit = both.filter("__right = 0 and __m is not null").select("__l", F.col("__m").alias("__r"))
@@ -44,6 +48,18 @@ def asof_join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by
     return out.select("__l.*", *[F.col("__m")[c].alias(c) for c in rcols])
 
 
+def _carried(both: DataFrame, time: Column, order: list[Column]) -> DataFrame:
+    """Adds __m, the last __r so far in the order, without one task seeing all rows. Equal times share a range."""
+    n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = written(both.repartitionByRange(n, time).withColumn("__part", F.spark_partition_id()), "asof")
+    w = Window.partitionBy("__part").orderBy(*order)
+    both = both.withColumn("__m", F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = both.withColumn("__i", F.row_number().over(w)).groupBy("__part").agg(F.max_by("__m", "__i").alias("__end"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    carry = ends.select("__part", F.last("__end", ignorenulls=True).over(before).alias("__carry"))
+    return both.join(F.broadcast(carry), "__part").withColumn("__m", F.coalesce("__m", "__carry")).drop("__part", "__carry")
+
+
 def asof_join_within(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, by: list[tuple[str, str]], seconds: int) -> DataFrame:
     """As asof_join with >= and how="left", looking back `seconds` at most. Time is cut into buckets of
     that length; a right row serves its own bucket and the next, so a hot key is spread over time."""
@@ -67,7 +83,13 @@ def _not_in(a: DataFrame, b: DataFrame) -> DataFrame:
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, by: list[tuple[str, str]] = (), how: str = "inner", closed: str = "[)") -> DataFrame:
     """left.point within right's interval low..high. Intervals go to every bucket of `width` that they
     touch, points to theirs; equal buckets meet in a hash or sort-merge join, the bounds are checked
-    there. Choose width near the intervals' usual length: longer ones cost a row per bucket."""
+    there. Choose width near the intervals' usual length: longer ones cost a row per bucket. With how
+    right or full, right rows that hold no point come once, without a left side."""
+    if how in ("right", "full"):
+        part = range_join(left, right, point, low, high, width, by, "left" if how == "full" else "inner", closed)
+        hit = range_join(left, right, point, low, high, width, by, "inner", closed).select(*right.columns).distinct()
+        nulls = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns]
+        return part.unionByName(_not_in(right, hit).select(*nulls, *right.columns))
     lo, hi = F.col(low).cast("double"), F.col(high).cast("double")
     spread = right.withColumn("__b", F.explode(F.sequence(F.floor(lo / width), F.floor(hi / width))))
     points = left.withColumn("__b", F.floor(F.col(point).cast("double") / width))
@@ -93,9 +115,12 @@ def overlap_join(a: DataFrame, b: DataFrame, a_range: tuple[str, str], b_range:
 
 def positions(df: DataFrame, order: list[str], name: str = "__pos") -> DataFrame:
     """Rows numbered from 0 in an order, without one task seeing all of them: a range partition sorts,
-    each part is counted, and its rows add what came before."""
-    sorted_ = df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order]).sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order])
-    numbered = sorted_.withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__id", 33))
+    each part is counted, and its rows add what came before. The sorted rows are written once with their
+    part and place, so that adaptive plans cannot cut them differently for the count and for the rows."""
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    numbered = written(sorted_.withColumn("__id", F.monotonically_increasing_id()), "positions").withColumn("__part", F.shiftright("__id", 33))
     counts = numbered.groupBy("__part").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     base = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
@@ -130,12 +155,36 @@ def single_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], va
 
 def inequality_join(left: DataFrame, right: DataFrame, condition: Column, how: str = "inner") -> DataFrame:
     """Any condition without an equality. Spark compares all pairs; the smaller side is sent around if
-    it is under the session's broadcast threshold. For ranges use range_join or overlap_join."""
+    it is under the session's broadcast threshold. For one comparison use merge_join, for ranges
+    range_join or overlap_join."""
     return left.join(right, condition, how)
 
 
+def merge_join(left: DataFrame, right: DataFrame, left_col: str, right_col: str, op: str = ">", parts: int = 64) -> DataFrame:
+    """Pairs with left_col `op` right_col, one of > >= < <=. Both sides are cut at the same quantiles of the
+    left column: a left row meets the right rows of its own range by comparing them, and those of the
+    ranges below (above) it without, so what is compared is a small part of all pairs, and each pair
+    of ranges is a task of its own. Nulls match nothing."""
+    there = left.filter(F.col(left_col).isNotNull())
+    cuts = sorted(set(there.approxQuantile(left_col, [k / parts for k in range(1, parts)], 0.01)))
+    rank = lambda c: sum((F.when(F.col(c) >= x, 1).otherwise(0) for x in cuts), F.lit(0))
+    l = there.withColumn("__lp", rank(left_col))  # noqa: E741
+    r = right.filter(F.col(right_col).isNotNull()).withColumn("__rp", rank(right_col))
+    below = op in (">", ">=")
+    reach = F.sequence(F.col("__rp"), F.lit(len(cuts))) if below else F.sequence(F.lit(0), F.col("__rp"))
+    r = r.withColumn("__lp2", F.explode(reach))  # the left ranges that a right row meets
+    x, y = l[left_col], r[right_col]
+    compare = {">": x > y, ">=": x >= y, "<": x < y, "<=": x <= y}[op]
+    return l.join(r, (l["__lp"] == r["__lp2"]) & ((l["__lp"] != r["__rp"]) | compare)).drop("__lp", "__rp", "__lp2")
+
+
 def salted_join(left: DataFrame, right: DataFrame, on: list[str], salts: int = 16, how: str = "inner") -> DataFrame:
-    """An equality join whose hot left keys are spread over `salts` tasks, the right side repeated."""
+    """An equality join whose hot left keys are spread over `salts` tasks, the right side repeated. With how
+    right or full, right rows whose key no left row has come once."""
+    if how in ("right", "full", "outer", "right_outer", "full_outer"):
+        part = salted_join(left, right, on, salts, "inner" if how.startswith("right") else "left")
+        rest = right.join(left.select(*on).distinct(), on, "left_anti")
+        return part.unionByName(rest, allowMissingColumns=True).select(*part.columns)
     l = left.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))  # noqa: E741
     r = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return l.join(r, [*on, "__salt"], how).drop("__salt")

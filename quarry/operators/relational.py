@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.storage import scratch, written
+
 
 def order_by(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Nulls last in either direction. A leading - on a name means descending."""
@@ -72,7 +74,15 @@ def pivot_values(df: DataFrame, on: str, most: int = 100_000) -> list:
     return [r[0] for r in rows if r[0] is not None]
 
 
-def unpivot(df: DataFrame, columns: list[str], name: str = "name", value: str = "value", include_nulls: bool = False) -> DataFrame:
+def unpivot(df: DataFrame, columns: list[str | tuple[str, ...]], name: str = "name", value: str | tuple[str, ...] = "value", include_nulls: bool = False) -> DataFrame:
+    """A row for each of `columns`. Several columns may go into one row: columns are tuples then, value a
+    tuple of as many names, and the row's name is that of the tuple's first column. Rows of nulls
+    alone go, unless include_nulls."""
+    if not isinstance(value, str):
+        ids = [c for c in df.columns if not any(c in x for x in columns)]
+        rows = F.array(*[F.struct(F.lit(x[0]).alias(name), *[F.col(c).alias(v) for c, v in zip(x, value, strict=True)]) for x in columns])
+        out = df.select(*ids, F.explode(rows).alias("__r")).select(*ids, "__r.*")
+        return out if include_nulls else out.dropna("all", subset=list(value))
     ids = [c for c in df.columns if c not in columns]
     out = df.unpivot(ids, columns, name, value)
     return out if include_nulls else out.filter(F.col(value).isNotNull())
@@ -86,6 +96,17 @@ def unnest(df: DataFrame, *lists: str) -> DataFrame:
     return zipped.select(*[F.col(f"__z.{c}").alias(c) if c in lists else F.col(c) for c in df.columns])
 
 
+def unnest_deep(df: DataFrame, column: str, max_depth: int | None = None) -> DataFrame:
+    """unnest(column, recursive := true): lists in lists become rows, structs columns, down to max_depth
+    levels of lists, or all. Rows without elements go."""
+    depth = 0
+    while df.schema[column].dataType.typeName() == "array" and (max_depth is None or depth < max_depth):
+        df, depth = df.withColumn(column, F.explode(column)), depth + 1
+    if df.schema[column].dataType.typeName() == "struct" and (max_depth is None or depth < max_depth):
+        return df.select(*[c for c in df.columns if c != column], f"{column}.*")
+    return df
+
+
 def sample(df: DataFrame, percent: float | None = None, rows: int | None = None, seed: int = 42) -> DataFrame:
     """Bernoulli by percent; a fixed number of rows by the smallest of hashed random keys, which is a top-n."""
     if rows is None:
@@ -95,32 +116,20 @@ def sample(df: DataFrame, percent: float | None = None, rows: int | None = None,
 
 def recursive(start: DataFrame, step: Callable[[DataFrame], DataFrame], distinct: bool = True, most: int = 10_000) -> DataFrame:
     """WITH RECURSIVE: step makes new rows of the last ones until none are new. With distinct, rows
-    seen before are dropped (UNION); else all are kept (UNION ALL). Each round is checkpointed to the
-    session's shared folder, so plans stay short and a lost executor costs one round at most."""
-    last = (start.distinct() if distinct else start).checkpoint()
-    rounds = [last]
-    for _ in range(most):
+    seen before are dropped (UNION), by one anti-join with all of them; else all are kept (UNION ALL).
+    Each round is written to the session's shared folder, so plans stay short and a lost executor costs
+    one round at most."""
+    spark, folder = start.sparkSession, scratch(start.sparkSession, "recursion")
+    last = written(start.distinct() if distinct else start, "", f"{folder}/round=0")
+    seen = spark.read.schema(last.schema)
+    for k in range(1, most + 1):
         new = step(last)
         if distinct:
-            new = new.distinct()
-            for known in rounds:
-                new = new.exceptAll(known) if len(rounds) == 1 else new.subtract(known)
-        last = new.checkpoint()
+            new = new.subtract(seen.parquet(*[f"{folder}/round={i}" for i in range(k)]))
+        last = written(new.select(*[F.col(a).cast(f.dataType).alias(f.name) for a, f in zip(new.columns, last.schema, strict=True)]), "", f"{folder}/round={k}")
         if last.isEmpty():
-            break
-        rounds.append(last)
-        if distinct and len(rounds) > 8:
-            rounds = [_all(rounds).checkpoint()]
-    else:
-        raise RuntimeError(f"no end after {most} rounds")
-    return _all(rounds)
-
-
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+            return seen.parquet(*[f"{folder}/round={i}" for i in range(k)])
+    raise RuntimeError(f"no end after {most} rounds")
 
 
 def summarize(df: DataFrame) -> DataFrame:

@@ -176,7 +176,11 @@ class JoinGraph:
         first = self.edges[0].left if self.edges else next(iter(self.relations))
         names, out, left = {first}, now[first], list(self.edges)
         while left:
-            e = next((e for e in left if e.left in names or e.right in names), left[0])
+            e = next((e for e in left if e.left in names or e.right in names), None)
+            if e is None:  # a part of the graph that no edge connects with the others
+                out = out.crossJoin(now[left[0].left])
+                names.add(left[0].left)
+                continue
             left.remove(e)
             if e.left in names and e.right in names:
                 out = out.filter(_equal(out, out, e.on))
@@ -190,6 +194,8 @@ class JoinGraph:
             on = [(a, b) if x.right == new else (b, a) for x in [e, *more] for a, b in x.on]
             out = _join(out, now[new], on, how)
             names.add(new)
+        for n in self.relations:
+            out = out if n in names else out.crossJoin(now[n])
         return out
 
     def _join(self, plan, now: dict[str, DataFrame]) -> tuple[set[str], DataFrame]:

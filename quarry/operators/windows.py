@@ -44,6 +44,8 @@ def sum_excluding(value: str, by: list[str], order: list[str | Column], lo: int,
     w = window(by, order)
     frame = w.rowsBetween(lo, hi)
     if exclude == "current":
+        if not lo <= 0 <= hi:  # the frame does not hold the current row
+            return F.sum(value).over(frame)
         rest = F.count(F.col(value)).over(frame) - F.when(F.col(value).isNotNull(), 1).otherwise(0)
         return F.when(rest > 0, F.sum(value).over(frame) - F.coalesce(F.col(value), F.lit(0)))
     raise ValueError("use frame_excluding for groups and ties")

@@ -1,30 +1,23 @@
 """Sinks and changes to stored tables.
 
-A stored table is a folder of Parquet files in versions: a change writes the next version whole and
-then moves the pointer, so readers see one version or the other and a failed write leaves no trace.
+A stored table is a folder of Parquet files and of versions. A version is a small file that lists the
+table's files; a change writes new files for those that it touches and then commits the next version
+by a rename that fails if that version is there already. So readers see one version or the other, a
+failed write leaves no trace, and of two writers one gets an error and may try again.
 """
 
 from __future__ import annotations
 
-import tempfile
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from quarry.storage import scratch, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; where unset, a local one for tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quarry-")
-        spark.sparkContext.setCheckpointDir(found)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/quarry"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["StoredTable", "copy_to", "export_tables", "import_tables", "scratch", "shared_folder"]
 
 
 def copy_to(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[str] = (), order: list[str] = (), rows_per_file: int | None = None, mode: str = "errorifexists", **options) -> str:
@@ -41,87 +34,196 @@ def copy_to(df: DataFrame, path: str, kind: str = "parquet", partition_by: list[
 
 
 def export_tables(tables: dict[str, DataFrame], folder: str, kind: str = "parquet") -> None:
+    """EXPORT DATABASE: a folder for each table, and their schemas as DDL under `schema`."""
     for name, df in tables.items():
         copy_to(df, f"{folder}/{name}", kind)
-
-
-def import_tables(spark: SparkSession, folder: str, names: list[str], kind: str = "parquet") -> dict[str, DataFrame]:
-    out = {name: spark.read.format(kind).load(f"{folder}/{name}") for name in names}
+    if tables:
+        spark = next(iter(tables.values())).sparkSession
+        spark.createDataFrame([(n, df.schema.toDDL() if hasattr(df.schema, "toDDL") else df._jdf.schema().toDDL()) for n, df in tables.items()], "name string, ddl string").coalesce(1).write.mode("overwrite").json(f"{folder}/schema")
+
+
+def import_tables(spark: SparkSession, folder: str, names: list[str] | None = None, kind: str = "parquet") -> dict[str, DataFrame]:
+    """IMPORT DATABASE: the tables of an export as temporary views; all of them, if no names are given."""
+    if names is None:
+        ddl = {r["name"]: r["ddl"] for r in spark.read.json(f"{folder}/schema").collect()}
+        out = {name: spark.read.format(kind).schema(text).load(f"{folder}/{name}") for name, text in ddl.items()}
+    else:
+        out = {name: spark.read.format(kind).load(f"{folder}/{name}") for name in names}
     for name, df in out.items():
         df.createOrReplaceTempView(name)
     return out
 
 
 class StoredTable:
-    """A table with inserts, updates, deletes and merges; versions v0, v1, ... under one folder."""
+    """A table with inserts, updates, deletes and upserts. Constraints given to it are enforced: a change
+    that breaks one is an error and leaves the table as it was."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, not_null: list[str] = (), unique: list[list[str]] = (), conditions: dict[str, Column] | None = None, defaults: dict[str, Column] | None = None) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.not_null, self.unique, self.conditions, self.defaults = list(not_null), [list(u) for u in unique], conditions or {}, defaults or {}
+
+    # Files
+
+    def _hadoop(self):
+        jvm = self.spark.sparkContext._jvm
+        return jvm, jvm.org.apache.hadoop.fs.Path, self.spark.sparkContext._jsc.hadoopConfiguration()
 
     def _fs(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        _, path, conf = self._hadoop()
+        return path(self.folder).getFileSystem(conf)
 
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+    def _version_path(self, n: int):
+        return self._hadoop()[1](f"{self.folder}/_versions/{n:012d}")
 
     def version(self) -> int:
-        """The last version whose write ended."""
-        fs, n = self._fs(), -1
-        while fs.exists(self._path(f"v{n + 1}/_SUCCESS")):
-            n += 1
-        return n
+        """The last version, -1 before the first."""
+        found = self._fs().globStatus(self._hadoop()[1](f"{self.folder}/_versions/[0-9]*"))
+        return max((int(x.getPath().getName()) for x in found or []), default=-1)
+
+    def _manifest(self, n: int) -> dict:
+        jvm = self._hadoop()[0]
+        stream = self._fs().open(self._version_path(n))
+        try:
+            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, n: int, schema: StructType, files: list[str]) -> StoredTable:
+        """Version n + 1, unless another writer made it since n was read."""
+        jvm, path, conf = self._hadoop()
+        own = path(f"{self.folder}/_versions/.{uuid.uuid4().hex}")
+        stream = self._fs().create(own, False)
+        stream.write(json.dumps({"schema": schema.jsonValue(), "files": files}).encode())
+        stream.close()
+        to = self._version_path(n + 1)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri() if to.toUri().getScheme() else self._fs().getUri(), conf)
+        none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._fs().makeQualified(own), self._fs().makeQualified(to), none)
+        except Exception as e:
+            self._fs().delete(own, False)
+            raise RuntimeError(f"version {n + 1} was written by another writer") from e
+        return self
+
+    def _add(self, df: DataFrame) -> list[str]:
+        """Write files and name them."""
+        name = f"data-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.folder}/{name}")
+        found = self._fs().globStatus(self._hadoop()[1](f"{self.folder}/{name}/part-*"))
+        return [f"{name}/{x.getPath().getName()}" for x in found or []]
+
+    def _read(self, schema: StructType, files: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{f}" for f in files]) if files else self.spark.createDataFrame([], schema)
+
+    def _now(self) -> tuple[int, StructType, list[str]]:
+        n = self.version()
+        if n < 0:
+            raise ValueError("the table was not created")
+        m = self._manifest(n)
+        return n, StructType.fromJson(m["schema"]), m["files"]
 
     def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/v{self.version() if version is None else version}")
+        m = self._manifest(self.version() if version is None else version)
+        return self._read(StructType.fromJson(m["schema"]), m["files"])
 
-    def _write(self, df: DataFrame) -> StoredTable:
-        n = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{n}")
-        return self
+    def _touched(self, schema: StructType, files: list[str], hit: Column) -> list[str]:
+        """The files that hold a row of the condition; the others stay as they are."""
+        if not files:
+            return []
+        rows = self._read(schema, files).filter(F.coalesce(hit, F.lit(False))).select(F.input_file_name().alias("f")).distinct().collect()  # a row per file
+        names = {"/".join(r["f"].rsplit("/", 2)[-2:]) for r in rows}
+        return [f for f in files if f in names]
+
+    # Changes
 
     def create(self, df: DataFrame) -> StoredTable:
-        return self._write(df)
+        self._enforce(df)
+        return self._commit(self.version(), df.schema, self._add(df))
 
     def insert(self, df: DataFrame) -> StoredTable:
-        now = self.read()
-        return self._write(now.unionByName(df.select(now.columns)))
+        """New files alone. Columns that df lacks take their defaults, else null."""
+        n, schema, files = self._now()
+        more = df.select(*[F.col(f.name) if f.name in df.columns else self.defaults.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+        self._enforce(more, self._read(schema, files))
+        return self._commit(n, schema, files + self._add(more))
 
     def delete(self, condition: Column) -> StoredTable:
         """Rows where the condition is null stay."""
-        return self._write(self.read().filter(~F.coalesce(condition, F.lit(False))))
+        n, schema, files = self._now()
+        touched = self._touched(schema, files, condition)
+        kept = self._read(schema, touched).filter(~F.coalesce(condition, F.lit(False)))
+        return self._commit(n, schema, [f for f in files if f not in touched] + (self._add(kept) if touched else []))
 
     def truncate(self) -> StoredTable:
-        return self._write(self.read().limit(0))
+        n, schema, _ = self._now()
+        return self._commit(n, schema, [])
 
     def update(self, values: dict[str, Column], condition: Column | None = None) -> StoredTable:
-        now = self.read()
+        n, schema, files = self._now()
         hit = F.lit(True) if condition is None else F.coalesce(condition, F.lit(False))
-        return self._write(now.select(*[F.when(hit, values[c].cast(now.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in now.columns]))
+        touched = self._touched(schema, files, hit)
+        rest = [f for f in files if f not in touched]
+        new = self._read(schema, touched).select(*[F.when(hit, values[c].cast(schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in schema.names])
+        self._enforce(new, self._read(schema, rest))
+        return self._commit(n, schema, rest + (self._add(new) if touched else []))
 
     def upsert(self, df: DataFrame, keys: list[str], action: str = "replace", values: list[str] | None = None) -> StoredTable:
         """INSERT .. ON CONFLICT (keys): action replace (DO UPDATE of `values`, else all) or ignore (DO
-        NOTHING). One full join on the keys, which never conflict when null."""
-        now, new = self.read(), df
-        cols = now.columns
+        NOTHING). Null keys never conflict. New rows that share a key: of those the least stays with
+        ignore, as one must; with replace they are an error, as one row cannot be set twice."""
+        n, schema, files = self._now()
+        cols, now = schema.names, self._read(schema, files)
+        new = df.select(cols)
+        known = F.lit(True)
+        for k in keys:
+            known = known & F.col(k).isNotNull()
+        keyed, free = new.filter(known), new.filter(~known)
         if action == "ignore":
-            fresh = new.join(now.select(*keys), keys, "left_anti")
-            return self._write(now.unionByName(fresh.select(cols)))
+            rest = [c for c in cols if c not in keys]
+            one = keyed.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__r")).select(*keys, "__r.*").select(cols) if rest else keyed.distinct()
+            more = one.join(now.select(*keys), keys, "left_anti").unionByName(free)
+            self._enforce(more, now)
+            return self._commit(n, schema, files + self._add(more))
+        if not keyed.groupBy(*keys).count().filter("count > 1").isEmpty():
+            raise ValueError(f"new rows share a key ({', '.join(keys)})")
         take = set(cols if values is None else values) - set(keys)
-        a = now.select(F.struct(*cols).alias("o"), *keys)
-        b = new.select(F.struct(*cols).alias("n"), *keys)
+        at = now.select(F.input_file_name().alias("__f"), *keys).join(keyed.select(*keys), keys, "left_semi") if files else None
+        names = {"/".join(r["__f"].rsplit("/", 2)[-2:]) for r in at.select("__f").distinct().collect()} if files else set()  # a row per file
+        touched = [f for f in files if f in names]
+        rest = [f for f in files if f not in touched]
+        a = self._read(schema, touched).select(F.struct(*cols).alias("o"), *keys)
+        b = keyed.select(F.struct(*cols).alias("n"), *keys)
         both = a.join(b, keys, "full")
         pick = [F.when(F.col("n").isNotNull() & (F.col("o").isNull() | F.lit(c in take)), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in cols]
-        return self._write(both.select(*pick))
+        changed = both.select(*pick).unionByName(free)
+        self._enforce(changed, self._read(schema, rest))
+        return self._commit(n, schema, rest + self._add(changed))
+
+    # Constraints
+
+    def _enforce(self, new: DataFrame, others: DataFrame | None = None) -> None:
+        """An error if the new rows break a constraint, among themselves or with the other rows."""
+        broken = _broken(new, self.not_null, [], self.conditions)
+        for keys in self.unique:
+            rows = new.dropna(subset=keys).select(*keys)
+            twice = not rows.groupBy(*keys).count().filter("count > 1").isEmpty()
+            if twice or (others is not None and not rows.join(others.select(*keys), keys, "left_semi").isEmpty()):
+                broken.append(f"unique({','.join(keys)})")
+        if broken:
+            raise ValueError(f"constraints broken: {', '.join(broken)}")
 
     def check(self, not_null: list[str] = (), unique: list[list[str]] = (), conditions: dict[str, Column] | None = None) -> list[str]:
         """Names of the constraints that some row breaks."""
-        now, broken = self.read(), []
-        aggs = [F.count_if(F.col(c).isNull()).alias(f"not_null({c})") for c in not_null]
-        aggs += [F.count_if(~F.coalesce(v, F.lit(True))).alias(k) for k, v in (conditions or {}).items()]
-        if aggs:
-            broken += [k for k, v in now.agg(*aggs).first().asDict().items() if v]
-        for keys in unique:
-            if not now.dropna(subset=keys).groupBy(*keys).count().filter("count > 1").isEmpty():
-                broken.append(f"unique({','.join(keys)})")
-        return broken
+        return _broken(self.read(), not_null, unique, conditions)
+
+
+def _broken(now: DataFrame, not_null: list[str] = (), unique: list[list[str]] = (), conditions: dict[str, Column] | None = None) -> list[str]:
+    broken = []
+    aggs = [F.count_if(F.col(c).isNull()).alias(f"not_null({c})") for c in not_null]
+    aggs += [F.count_if(~F.coalesce(v, F.lit(True))).alias(k) for k, v in (conditions or {}).items()]
+    if aggs:
+        broken += [k for k, v in now.agg(*aggs).first().asDict().items() if v]
+    for keys in unique:
+        if not now.dropna(subset=keys).groupBy(*keys).count().filter("count > 1").isEmpty():
+            broken.append(f"unique({','.join(keys)})")
+    return broken
