@@ -33,6 +33,15 @@ TEXTS = {
     "sql_aggregates": "SELECT l_returnflag, arg_max(l_orderkey, l_orderkey * 100 + l_linenumber) AS a, md5(string_agg(l_linenumber::VARCHAR, '-' ORDER BY l_orderkey, l_linenumber, l_partkey)) AS g, round(median(l_quantity), 3) AS m, count(*) FILTER (WHERE l_tax > 0.04) AS f FROM lineitem GROUP BY l_returnflag",
     "sql_percent": "SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20%",
     "sql_grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
+    "sql_asof": "SELECT e.event_id, v.pid, v.pts FROM events e ASOF JOIN (SELECT user_id AS u, ts AS pts, max(event_id) AS pid FROM events WHERE event_type = 'view' GROUP BY ALL) v ON e.user_id = v.u AND e.ts >= v.pts WHERE e.event_type = 'purchase'",
+    "sql_asof_left": "SELECT * FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN (SELECT user_id AS u, ts AS pts, max(event_id) AS pid FROM events WHERE event_type = 'view' GROUP BY ALL) v ON v.u = e.user_id AND v.pts > e.ts",
+    "sql_positional": "SELECT * FROM (SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 30) a POSITIONAL JOIN (SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey) b",
+    "sql_union_by_name": "SELECT r_regionkey AS k, r_name AS name FROM region UNION ALL BY NAME SELECT n_name AS name, n_nationkey AS n FROM nation UNION ALL BY NAME SELECT s_suppkey AS k FROM supplier",
+    "sql_union_by_name_distinct": "WITH a AS (SELECT c_nationkey AS k, 1 AS x FROM customer) SELECT * FROM a UNION BY NAME SELECT 1 AS x, s_nationkey AS k FROM supplier ORDER BY k",
+    "sql_ordered_aggregates": "SELECT l_suppkey, array_to_string(list(l_linenumber ORDER BY l_orderkey DESC, l_partkey, l_linenumber DESC), ',') AS a, string_agg(l_returnflag, '-' ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey) AS b, array_to_string(list(l_partkey ORDER BY nullif(l_linenumber, 3) DESC NULLS FIRST, l_orderkey, l_partkey), ',') AS c, array_to_string(list(l_partkey ORDER BY nullif(l_linenumber, 3), l_orderkey, l_partkey), ',') AS d, first(l_orderkey ORDER BY l_extendedprice DESC, l_orderkey) AS f FROM lineitem GROUP BY l_suppkey",
+    "sql_quantified": "SELECT p_partkey, p_size > ANY (SELECT s_nationkey FROM supplier) AS a, p_size <= ALL (SELECT n_nationkey FROM nation) AS b, p_size < ANY (SELECT nullif(n_nationkey, 3) FROM nation) AS c, p_size >= ALL (SELECT n_nationkey FROM nation WHERE false) AS d FROM part WHERE p_size <> ALL (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)",
+    "sql_ordinals": "SELECT n_name, n_regionkey FROM nation ORDER BY #2 DESC, #1 LIMIT 7",
+    "sql_slices_down": "SELECT p_partkey, array_to_string([p_size, 2, 3, 4, 5][5:1:-2], ',') AS a, array_to_string([p_size, 2, 3][:-:-1], ',') AS b, array_to_string([p_size, 2, 3, 4][4:2:-1], ',') AS c FROM part",
     "sql_method_calls": "SELECT n_nationkey, n_name.lower().reverse() AS r FROM nation",
 }
 
