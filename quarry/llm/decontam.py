@@ -6,9 +6,11 @@ all documents. A document's shingles meet the prefixes of all windows in a hash
 fixes where the window must start (positional bound) and end (length bound), and the words there
 are compared one by one.
 
-The index of a block of windows goes to the executors. A block holds at most `block_windows`
-windows, whatever the benchmark's size; a larger benchmark takes several blocks and as many passes
-over the documents, whose findings are merged. Documents are never shuffled for one block.
+The index of up to `block_windows` windows goes to the executors; documents are never shuffled then. A
+larger benchmark is joined: documents give their shingles that may be in a window (a bitmap of a
+fixed size tells), which are counted; each window takes its rarest as its prefix; then documents
+give the places of prefixes with the words around them, which meet the windows by a join on the
+prefix and are compared word by word. So the documents are read twice, whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import table, tune, written
 
 WINDOW, SHINGLE, BLOCK_WINDOWS = 10, 4, 500_000
+#: Bits of the bitmap of shingles, as a power of 2, and those of one of its rows.
+MAP_BITS, ROW_BITS = 26, 15
 #: Bytes of words in UTF-8: digits, letters and all bytes of signs beyond ASCII, after lower-casing A-Z.
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -208,19 +212,130 @@ def _scan(docs: DataFrame, index: _Index, kind: str) -> DataFrame:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans and items that several blocks found in one document."""
+    """Spans of one document that touch or overlap are one."""
     for b in batches:
-        spans, items = [], []
-        for lists, names in zip(b.column("spans").to_pylist(), b.column("items").to_pylist(), strict=True):
+        spans = []
+        for found in b.column("spans").to_pylist():
             out: list[dict] = []
-            for s in sorted((s for x in lists for s in x), key=lambda s: s["first"]):
+            for s in sorted(found, key=lambda s: s["first"]):
                 if out and s["first"] <= out[-1]["end"]:
                     out[-1]["end"] = max(out[-1]["end"], s["end"])
                 else:
                     out.append(dict(s))
             spans.append(out)
-            items.append(sorted({n for x in names for n in x}))
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("uid"), b.column("n_words"), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))], b.schema.names)
+        yield pa.RecordBatch.from_arrays([b.column("uid"), pa.array(spans, _SPANS)], ["uid", "spans"])
+
+
+def _bitmap(hashes: DataFrame) -> bytes:
+    """Which values the highest MAP_BITS bits of `h` take: MAP_BITS bits, however many hashes there are."""
+    place = F.shiftrightunsigned("h", 64 - MAP_BITS) + 1  # Spark's bitmaps count from 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(place).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out, size = bytearray(1 << MAP_BITS - 3), 1 << ROW_BITS - 3  # at most 2^(MAP_BITS - ROW_BITS) rows
+    for r in rows:
+        out[(r["row"] - 1) * size : r["row"] * size] = r["bits"]
+    return bytes(out)
+
+
+def _in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h >> np.uint64(64 - MAP_BITS)
+    return np.flatnonzero(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+
+
+def _window_parts(shingle: int):
+    """Rows (w, wid) -> (wid, at, size, h): the shingles of each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for w, wid in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = Words(w.decode("utf-8", "surrogatepass"))
+                hs = _shingles(words.hashes, min(shingle, len(words))).view(np.int64).tolist()
+                rows += [(wid, k, len(words), h) for k, h in enumerate(hs)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["wid", "at", "size", "h"])
+
+    return run
+
+
+def _seen(bits: bytes, widths: list[int]):
+    """Rows (text) -> (h, n): how often shingles that may be in a window occur, summed over a batch."""
+    shared = np.frombuffer(bits, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for text in b.column(0).to_pylist():
+                hashes = Words(text).hashes
+                for width in widths:
+                    h = _shingles(hashes, width)
+                    found.append(h[_in_map(shared, h)])
+            h, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+
+    return run
+
+
+def _around(bits: bytes, widths: list[int], window: int):
+    """Rows (uid, text) -> (uid, p, h, before, words): places of shingles that may be prefixes, with the
+    words of every window that could hold one there, `before` of them ahead of it."""
+    shared = np.frombuffer(bits, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        for b in batches:
+            for uid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words, rows = Words(text), []
+                for width in widths:
+                    h = _shingles(words.hashes, width)
+                    for p in _in_map(shared, h).tolist():
+                        first = max(0, p - window + 1)
+                        rows.append((uid, p, int(h[p : p + 1].view(np.int64)[0]), p - first, words.joined(first, min(len(words), p + window))))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["uid", "p", "h", "before", "words"])
+
+    return run
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Meetings of a document and a window -> (uid, wid, first, end) where all words are equal."""
+    for b in batches:
+        keep, first, end = [], [], []
+        for p, before, words, at, size, w in zip(*(b.column(c).to_pylist() for c in ("p", "before", "words", "at", "size", "w")), strict=True):
+            here = words.split(b" ")
+            ok = at <= before and here[before - at : before - at + size] == w.split(b" ")
+            keep.append(ok)
+            if ok:
+                first.append(p - at)
+                end.append(p - at + size)
+        keep = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("uid").filter(keep), b.column("wid").filter(keep), pa.array(first, pa.int64()), pa.array(end, pa.int64())], ["uid", "wid", "first", "end"])
+
+
+def _n_words(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(Words(t)) for t in b.column(2).to_pylist()], pa.int64())], ["id", "uid", "n_words"])
+
+    return run, f"id {kind}, uid long, n_words long"
+
+
+def _joined(docs: DataFrame, every: DataFrame, window: int, shingle: int, kind: str) -> DataFrame:
+    """The findings for a benchmark of any size, by joins. docs: (id, uid, text), every: (item, w)."""
+    docs = written(docs, "docs")
+    named = written(every.select("w").distinct().withColumn("wid", F.monotonically_increasing_id()), "named")
+    parts = written(named.select("w", "wid").mapInArrow(_window_parts(shingle), "wid long, at int, size int, h long"), "parts")
+    widths = sorted({min(shingle, r["size"]) for r in parts.select("size").distinct().collect()})  # `window` rows at most
+    counts = docs.select("text").mapInArrow(_seen(_bitmap(parts), widths), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rarest = parts.join(counts, "h", "left").groupBy("wid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "at", "size")).alias("x"))
+    prefixes = written(rarest.select("wid", "x.h", "x.at", "x.size").join(named, "wid"), "prefixes")
+    places = docs.select("uid", "text").mapInArrow(_around(_bitmap(prefixes), widths, window), "uid long, p long, h long, before int, words binary")
+    met = places.join(prefixes, "h").select("uid", "wid", "p", "before", "words", "at", "size", "w")
+    hits = written(met.mapInArrow(_compare, "uid long, wid long, first long, end long"), "hits")
+    spans = hits.select("uid", F.struct("first", "end").alias("s")).distinct().groupBy("uid").agg(F.collect_list("s").alias("spans")).mapInArrow(_merge, "uid long, spans array<struct<first:long,end:long>>")
+    owners = hits.select("uid", "wid").distinct().join(named, "wid").join(every, "w").select("uid", "item").distinct()
+    items = owners.groupBy("uid").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    run, shape = _n_words(kind)
+    rows = docs.select("id", "uid", "text").mapInArrow(run, shape).join(spans, "uid", "left").join(items, "uid", "left")
+    return rows.select("id", "uid", "n_words", F.coalesce("spans", F.array().cast("array<struct<first:bigint,end:bigint>>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_windows: int = BLOCK_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -234,19 +349,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     kind = docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("uid"), F.col(text_col).alias("text"))
     every = written(windows(items, window, item_col, item_text_col), "windows")
-    blocks = max(1, -(-every.count() // block_windows))
-    found = []
-    for k in range(blocks):
-        index = _Index(every.filter(F.pmod(F.xxhash64("w"), F.lit(blocks)) == k).collect(), shingle)
+    if every.count() > block_windows:
+        out = _joined(docs, every, window, shingle, kind)
+    else:
+        index = _Index(every.collect(), shingle)  # block_windows rows at most
         index.order(_counts(docs, index))
-        found.append(_scan(docs, index, kind))
-    out = found[0]
-    if blocks > 1:
-        for more in found[1:]:
-            out = out.unionByName(more)
-        shape = out.schema
-        out = out.groupBy("uid").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
-        out = out.select("id", "uid", "n_words", "spans", "items").mapInArrow(_merge, shape)
+        out = _scan(docs, index, kind)
     return out.drop("uid").withColumnRenamed("id", id_col)
 
 
