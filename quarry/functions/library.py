@@ -7,6 +7,8 @@ ones from the end, x / 0 is null, weeks start on Monday, `concat` skips nulls.
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -146,6 +148,14 @@ def entropy(x) -> Column:
     return F.when(total > 0, F.log2(total.cast("double")) - parts / total).otherwise(F.lit(0.0))
 
 
+@named("mad")
+def mad(x) -> Column:
+    """The median of distances to the median. It holds the values of a group, as list does;
+    operators.aggregates.mad does not."""
+    both = F.array(F.struct(F.collect_list(_d(x)).alias("l"), F.percentile(_d(x), 0.5).alias("m")))
+    return F.get(F.transform(both, lambda s: _median_of(F.array_sort(F.transform(s["l"], lambda v: F.abs(v - s["m"]))))), 0)
+
+
 @named("quantile", "quantile_disc")
 def quantile_disc(x: str, q: float) -> Column:
     """The smallest value whose cumulative share reaches q. x: a column's name or SQL."""
@@ -281,6 +291,15 @@ def list_aggregate(l, name: str) -> Column:
     return _LIST_AGGREGATES[name](l)
 
 
+def _list_function(name: str) -> None:
+    named(f"list_{name}")(lambda l: _LIST_AGGREGATES[name](l))
+
+
+for _name in _LIST_AGGREGATES:
+    if f"list_{_name}" not in FUNCTIONS:
+        _list_function(_name)
+
+
 # Vectors
 
 
@@ -478,6 +497,73 @@ named("bit_position")(lambda part, b: F.instr(b, part) if isinstance(part, str)
 named("bitstring")(lambda b, n: F.lpad(b, n, "0"))
 
 
+# Null tests, conditions and the session
+
+for _names, _f in {
+    ("coalesce", "ifnull"): lambda *x: F.coalesce(*[_c(v) for v in x]),
+    ("nullif",): lambda a, b: F.nullif(_c(a), _c(b)),
+    ("if",): lambda c, a, b: F.when(c, _c(a)).otherwise(_c(b)),
+    ("isnull",): lambda x: _c(x).isNull(),
+    ("current_database", "current_catalog"): F.current_catalog,
+    ("current_schema",): F.current_database,
+    ("current_schemas",): lambda include_implicit=True: F.array(F.current_database()),
+    ("in_search_path",): lambda database, schema: (_c(database) == F.current_catalog()) & (_c(schema) == F.current_database()),
+    ("current_setting",): lambda name: F.lit(_setting(name)),
+    ("version",): F.version,
+    ("like_escape",): lambda s, p, e: F.like(_c(s), _c(p), _c(e)),
+    ("not_like_escape",): lambda s, p, e: ~F.like(_c(s), _c(p), _c(e)),
+    ("ilike_escape",): lambda s, p, e: F.ilike(_c(s), _c(p), _c(e)),
+    ("not_ilike_escape",): lambda s, p, e: ~F.ilike(_c(s), _c(p), _c(e)),
+    ("url_encode",): lambda s: F.replace(F.url_encode(s), F.lit("+"), F.lit("%20")),
+    ("url_decode",): F.url_decode,
+    ("md5_number_upper",): lambda s: _little_endian(F.md5(_c(s).cast("binary")), 1),
+    ("md5_number_lower",): lambda s: _little_endian(F.md5(_c(s).cast("binary")), 17),
+    ("julian",): lambda d: F.unix_micros(_c(d).cast("timestamp")).cast("double") / 86_400_000_000 + 2440588,
+    ("make_time",): lambda h, m, s: F.concat_ws(":", F.lpad(_c(h).cast("string"), 2, "0"), F.lpad(_c(m).cast("string"), 2, "0"), F.regexp_replace(F.lpad(F.format_string("%.6f", _c(s).cast("double")), 9, "0"), r"\.?0+$", "")),
+    ("make_timestamptz",): lambda *x: F.make_timestamp(*[_c(v) for v in x]),
+    ("current_time", "current_localtime"): lambda: F.date_format(F.current_timestamp(), "HH:mm:ss.SSSSSS"),
+    ("current_localtimestamp", "localtimestamp"): F.localtimestamp,
+    ("transaction_timestamp",): F.current_timestamp,
+    ("timezone_hour",): lambda t: F.lit(0).cast("long"),  # sessions are in UTC
+    ("timezone_minute",): lambda t: F.lit(0).cast("long"),
+    ("map_contains",): lambda m, k: F.map_contains_key(m, k),
+}.items():
+    named(*_names)(_f)
+
+
+def _setting(name: str) -> str | None:
+    from pyspark.sql import SparkSession
+
+    return SparkSession.active().conf.get(name, None)
+
+
+def _little_endian(digest: Column, at: int) -> Column:
+    """Eight bytes of a hex digest as an unsigned number, the lowest byte first."""
+    turned = F.concat(*[F.substring(digest, at + 2 * k, 2) for k in range(7, -1, -1)])
+    return F.conv(turned, 16, 10).cast("decimal(20,0)")
+
+
+@named("format")
+def format_(pattern: str, *x) -> Column:
+    """{} takes the next argument, {n} that of a number; {{ and }} are brackets."""
+    parts, at = [], 0
+    for piece in re.split(r"(\{\{|\}\}|\{\d*\})", pattern):
+        if re.fullmatch(r"\{\d*\}", piece):
+            k = int(piece[1:-1]) if len(piece) > 2 else at
+            at += len(piece) == 2
+            parts.append(_c(x[k]).cast("string"))
+        elif piece:
+            parts.append(F.lit({"{{": "{", "}}": "}"}.get(piece, piece)))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+@named("alias")
+def alias(x) -> Column:
+    """The name of a column."""
+    name = x if isinstance(x, str) else re.sub(r"^Column<'(.*)'>$", r"\1", repr(x), flags=re.S)
+    return F.lit(name.rsplit(" AS ", 1)[-1])
+
+
 # Blobs
 
 named("encode")(lambda s: F.encode(s, "UTF-8"))

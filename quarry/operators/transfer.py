@@ -14,7 +14,13 @@ Modes:
 
 A Bloom filter is built where its rows are (an aggregate whose partial results are merged by Spark)
 and has at most MOST_BITS bits, whatever the data; past the size where it would let too much
-through, the reduction is a semi-join instead, which Spark plans by size.
+through, the reduction is a semi-join instead, which Spark plans by size. Filters are scalar subqueries
+of the plan that uses them: the driver starts no job for a step, and equal subqueries run once.
+
+Relations are sized by their rows after their own filters, counted once for each plan (a scan of the
+filters' columns); beyond COUNT_BYTES, where filters have their greatest size anyhow, by their bytes.
+A relation that nothing has filtered, neither its plan nor a step before, reduces no other: on
+foreign keys it could not.
 """
 
 from __future__ import annotations
@@ -26,7 +32,8 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS_PER_KEY, LEAST_BITS, MOST_BITS = 8, 512, 1 << 26
+BITS_PER_KEY, LEAST_BITS, MOST_BITS, COUNT_BYTES = 8, 512, 1 << 26, 4 << 30
+_ROWS: dict[int, float] = {}
 
 
 class TransferMode(Enum):
@@ -115,6 +122,7 @@ class JoinGraph:
         return out
 
     def schedule(self, mode: TransferMode) -> list[Step]:
+        """Every step of the mode, in order."""
         if mode is TransferMode.NONE:
             return []
         if mode is TransferMode.RPT:
@@ -127,11 +135,14 @@ class JoinGraph:
         return [Step(a, b, e) for a, b, e in [*forward, *back] if a != b and e.may_reduce(b)]
 
     def reduce(self, mode: TransferMode) -> dict[str, DataFrame]:
-        """The relations after transfer. A relation that nothing has filtered cannot reduce a foreign
-        key that it holds whole, but it may all the same; every step is taken."""
+        """The relations after transfer: steps from a relation that is still whole are left out."""
         now = {n: r.df for n, r in self.relations.items()}
-        for step in self.schedule(mode):
-            now[step.target] = semi_reduce(now[step.target], step.edge.keys(step.target), now[step.source], step.edge.keys(step.source), self.relations[step.source].rows)
+        steps = self.schedule(mode)
+        less = {n for n, r in self.relations.items() if not steps or _filtered(r.df)}
+        for step in steps:
+            if step.source in less:
+                now[step.target] = semi_reduce(now[step.target], step.edge.keys(step.target), now[step.source], step.edge.keys(step.source), self.relations[step.source].rows)
+                less.add(step.target)
         return now
 
     # Joins
@@ -219,50 +230,61 @@ def _join(a: DataFrame, b: DataFrame, on: list[tuple[str, str]], how: str) -> Da
     return a.join(b, _equal(a, b, on), how)
 
 
+def _filtered(df: DataFrame) -> bool:
+    """Whether a plan may hold fewer rows than its tables: it has more than scans and projections."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while True:
+        name, below = plan.nodeName(), plan.children()
+        if below.size() == 0:
+            return name not in ("LogicalRelation", "Relation", "DataSourceV2Relation", "DataSourceV2ScanRelation") and not name.startswith(("Relation", "LogicalRelation"))
+        if name not in ("Project", "SubqueryAlias", "ResolvedHint") or below.size() > 1:
+            return True
+        plan = below.head()
+
+
 def estimated(df: DataFrame) -> float:
-    """The optimizer's row count of a plan if it has one, else its size over its row width."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    if stats.rowCount().isDefined():
-        return float(str(stats.rowCount().get()))
-    width = max(8, 8 * len(df.columns))
-    return float(str(stats.sizeInBytes())) / width
+    """The rows of a plan: counted, once for each plan; of more than COUNT_BYTES, its bytes over a row's width."""
+    key = df.semanticHash()
+    if key not in _ROWS:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        size = float(str(stats.sizeInBytes()))
+        _ROWS[key] = float(df.count()) if size <= COUNT_BYTES else 4 * size / max(8, 8 * len(df.columns))
+    return _ROWS[key]
 
 
 def _key(columns: list[Column]) -> Column:
     return F.xxhash64(*columns)
 
 
-def bloom_filter(df: DataFrame, keys: list[str], rows: float) -> bytes | None:
-    """Bits over the hash of the keys, or None for no rows. Merged in partial aggregates."""
+def bloom_filter(df: DataFrame, keys: list[str], rows: float) -> Column:
+    """Bits over the hash of the keys, or null for no rows, as a scalar subquery. Merged in partial aggregates."""
     bits = min(MOST_BITS, max(LEAST_BITS, int(BITS_PER_KEY * rows)))
-    spark = df.sparkSession
-    jvm = spark._jvm
+    jvm = df.sparkSession._jvm
+    util = jvm.org.apache.spark.sql.classic.ExpressionUtils
     hashed = df.select(_key([F.col(k) for k in keys]).alias("h"))
     agg = jvm.org.apache.spark.sql.catalyst.expressions.aggregate.BloomFilterAggregate(
-        jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(F.col("h")._jc),
-        jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(F.lit(max(1, int(bits / BITS_PER_KEY))).cast("long")._jc),
-        jvm.org.apache.spark.sql.classic.ExpressionUtils.expression(F.lit(bits).cast("long")._jc),
+        util.expression(F.col("h")._jc),
+        util.expression(F.lit(max(1, int(bits / BITS_PER_KEY))).cast("long")._jc),
+        util.expression(F.lit(bits).cast("long")._jc),
     )
-    column = Column(jvm.org.apache.spark.sql.classic.ExpressionUtils.column(agg.toAggregateExpression()))
-    got = hashed.agg(column.alias("b")).first()["b"]
-    return None if got is None else bytes(got)
+    return hashed.agg(Column(util.column(agg.toAggregateExpression())).alias("b")).scalar()
 
 
-def might_contain(bloom: bytes, keys: list[str], spark) -> Column:
+def might_contain(bloom: Column, keys: list[str], spark) -> Column:
     jvm = spark._jvm
     util = jvm.org.apache.spark.sql.classic.ExpressionUtils
-    expr = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(util.expression(F.lit(bytearray(bloom))._jc), util.expression(_key([F.col(k) for k in keys])._jc))
+    expr = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(util.expression(bloom._jc), util.expression(_key([F.col(k) for k in keys])._jc))
     return Column(util.column(expr))
 
 
 def semi_reduce(target: DataFrame, target_keys: list[str], source: DataFrame, source_keys: list[str], source_rows: float) -> DataFrame:
     """Rows of target whose keys may be among those of source; never drops one that is.
 
-    Null keys join nothing and go. A source of no rows leaves no rows.
+    Null keys join nothing and go. A source of no rows leaves no rows: its filter is null.
     """
     there = target.dropna(subset=target_keys)
     if BITS_PER_KEY * source_rows > 4 * MOST_BITS:  # the filter would be full: let Spark plan a semi-join
         keys = source.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(source_keys)]).distinct()
         return there.join(keys, _equal(there, keys, [(k, f"__k{i}") for i, k in enumerate(target_keys)]), "left_semi")
     bloom = bloom_filter(source.dropna(subset=source_keys), source_keys, source_rows)
-    return there.limit(0) if bloom is None else there.filter(might_contain(bloom, target_keys, target.sparkSession))
+    return there.filter(might_contain(bloom, target_keys, target.sparkSession))

@@ -296,10 +296,6 @@ AGGREGATES: list[Case] = [
     ("q_disc", lambda: f("quantile_disc", "l_extendedprice", 0.3), "quantile_disc(l_extendedprice, 0.3)"),
     ("q_cont", lambda: F.round(f("quantile_cont", x(), 0.3), 4), "round(quantile_cont(l_extendedprice, 0.3), 4)"),
     ("hist", lambda: F.array_join(F.transform(F.map_entries(f("histogram", c("l_linenumber"))), lambda e: F.concat_ws(":", e["key"], e["value"])), ","), "array_to_string(list_transform(map_entries(histogram(l_linenumber)), lambda e: concat(e.key, ':', e.value)), ',')"),
-    ("listed", lambda: f("md5", F.array_join(f("list", c("l_linenumber"), *_o()), ",")), f"md5(array_to_string(list(l_linenumber {_os}), ','))"),
-    ("joined", lambda: f("md5", f("string_agg", c("l_linenumber"), "-", *_o())), f"md5(string_agg(CAST(l_linenumber AS VARCHAR), '-' {_os}))"),
-    ("first_", lambda: f("first", c("l_partkey"), *_o()), f"first(l_partkey {_os})"),
-    ("last_", lambda: f("last", c("l_partkey"), *_o()), f"last(l_partkey {_os})"),
     ("bits", lambda: f("bitstring_agg", c("l_linenumber"), 0, 9), "CAST(bitstring_agg(l_linenumber, 0, 9) AS VARCHAR)"),
     *[(f"r_{k}", lambda k=k: F.round(f(f"regr_{k}", x(), y()), 3), f"round(regr_{k}(l_extendedprice, l_quantity), 3)") for k in ("avgx", "avgy", "count", "intercept", "r2", "slope")],
     *[(f"r_{k}", lambda k=k: F.round(f(f"regr_{k}", x(), y()) / 1e6, 3), f"round(regr_{k}(l_extendedprice, l_quantity) / 1e6, 3)") for k in ("sxx", "sxy", "syy")],
@@ -310,6 +306,36 @@ AGGREGATES: list[Case] = [
 ]
 
 
+#: Each result is as long as its group, so these run over many groups.
+ORDERED: list[Case] = [
+    ("listed", lambda: f("md5", F.array_join(f("list", c("l_linenumber"), *_o()), ",")), f"md5(array_to_string(list(l_linenumber {_os}), ','))"),
+    ("joined", lambda: f("md5", f("string_agg", c("l_linenumber"), "-", *_o())), f"md5(string_agg(CAST(l_linenumber AS VARCHAR), '-' {_os}))"),
+    ("first_", lambda: f("first", c("l_partkey"), *_o()), f"first(l_partkey {_os})"),
+    ("last_", lambda: f("last", c("l_partkey"), *_o()), f"last(l_partkey {_os})"),
+]
+
+
+MORE: list[Case] = [
+    ("sum_", lambda: f("list_sum", F.array(c("p_size"), F.lit(2), F.lit(None).cast("int"))).cast("long"), "CAST(list_sum([p_size, 2, NULL]) AS BIGINT)"),
+    ("avg_", lambda: F.round(f("list_avg", F.array(c("p_size"), F.lit(2))), 6), "round(list_avg([p_size, 2]), 6)"),
+    ("count_", lambda: f("list_count", F.array(c("p_size"), F.lit(None).cast("int"))).cast("long"), "list_count([p_size, NULL])"),
+    ("min_", lambda: f("list_min", F.array(c("p_size"), F.lit(7))), "list_min([p_size, 7])"),
+    ("max_", lambda: f("list_max", F.array(c("p_size"), F.lit(7))), "list_max([p_size, 7])"),
+    ("median_", lambda: f("list_median", F.array(c("p_size"), F.lit(7), F.lit(20))).cast("double"), "list_median([p_size, 7, 20])"),
+    ("fmt", lambda: f("format", "{}-{{}}-{}", c("p_name"), c("p_size")), "format('{}-{{}}-{}', p_name, p_size)"),
+    ("fmt_n", lambda: f("format", "{1} {0}", c("p_name"), c("p_size")), "format('{1} {0}', p_name, p_size)"),
+    ("esc", lambda: f("like_escape", c("p_name"), F.lit("%$%%"), F.lit("$")), "like_escape(p_name, '%$%%', '$')"),
+    ("up", lambda: f("md5_number_upper", c("p_name")).cast("string"), "CAST(md5_number_upper(p_name) AS VARCHAR)"),
+    ("low", lambda: f("md5_number_lower", c("p_name")).cast("string"), "CAST(md5_number_lower(p_name) AS VARCHAR)"),
+    ("time_", lambda: f("make_time", c("p_size") % 24, c("p_partkey") % 60, c("p_size") / 2), "CAST(make_time(p_size % 24, p_partkey % 60, p_size / 2) AS VARCHAR)"),
+    ("url", lambda: f("url_decode", f("url_encode", c("p_name"))), "url_decode(url_encode(p_name))"),
+    ("null_", lambda: f("nullif", c("p_size"), 7), "nullif(p_size, 7)"),
+    ("if_", lambda: f("if", c("p_size") > 25, "big", "small"), "if(p_size > 25, 'big', 'small')"),
+    ("lcm_", lambda: f("lcm", c("p_partkey") * 1_000_003, c("p_partkey")), "lcm(p_partkey * 1000003, p_partkey)"),
+    ("div_", lambda: f("//", F.lit(9007199254740993), c("p_size")), "9007199254740993 // p_size"),
+]
+
+
 def _rows(name: str, keys: list[str], cases: list[Case]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return table(spark, sf_dir, name).select(*keys, *[of().alias(alias) for alias, of, _ in cases])
@@ -323,6 +349,8 @@ def _groups(name: str, keys: list[str], cases: list[Case]):
         both results are a row per group."""
         groups = table(spark, sf_dir, name).groupBy(*keys)
         plain = groups.agg(*[of().alias(alias) for alias, of, sql in cases if "(DISTINCT" not in sql])
+        if not any("(DISTINCT" in sql for _, _, sql in cases):
+            return plain
         return plain.join(groups.agg(*[of().alias(alias) for alias, of, sql in cases if "(DISTINCT" in sql]), keys)
 
     return run, f"SELECT {', '.join(keys)}, " + ", ".join(f"{sql} AS {alias}" for alias, _, sql in cases) + f" FROM {name} GROUP BY {', '.join(keys)}"
@@ -335,6 +363,9 @@ ALL = {
     "fn_dates": _rows("orders", ["o_orderkey"], DATES),
     "fn_json": _rows("events", ["event_id"], JSON),
     "fn_vectors": _rows("embeddings", ["vec_id"], VECTORS),
+    "fn_more": _rows("part", ["p_partkey"], MORE),
+    "fn_ordered_aggregates": _groups("lineitem", ["l_suppkey", "l_returnflag"], ORDERED),
+    "fn_mad": _groups("lineitem", ["l_suppkey"], [("mad_", lambda: F.round(f("mad", c("l_quantity")), 4), "round(mad(l_quantity), 4)")]),
     "fn_aggregates": _groups("lineitem", ["l_returnflag", "l_linestatus"], AGGREGATES),
 }
 QUERIES = {k: run for k, (run, _) in ALL.items()}
