@@ -133,11 +133,8 @@ def json_merge_patch(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else json.dumps(merge(json.loads(x), json.loads(y)), separators=(",", ":")) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(StringType())
-def host(inet: pd.Series) -> pd.Series:
-    """An address without its mask."""
-    return inet.map(lambda x: x.split("/")[0], na_action="ignore")
-
-
-for _f in ("nfc_normalize", "length_grapheme", "substring_grapheme", "left_grapheme", "right_grapheme", "jaro_similarity", "jaro_winkler_similarity", "damerau_levenshtein", "nextafter", "json_merge_patch", "host"):
+for _f in ("nfc_normalize", "length_grapheme", "substring_grapheme", "left_grapheme", "right_grapheme", "jaro_similarity", "jaro_winkler_similarity", "damerau_levenshtein", "nextafter", "json_merge_patch"):
     named(_f)(globals()[_f])
+
+#: An address without its mask.
+named("host")(lambda inet: F.split_part(inet, F.lit("/"), F.lit(1)))

@@ -33,6 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS_PER_KEY, LEAST_BITS, MOST_BITS, COUNT_BYTES = 8, 512, 1 << 26, 4 << 30
+#: A relation of fewer rows is not worth a filter that only its own joins would use.
+LEAST_TARGET = 10_000
 _ROWS: dict[int, float] = {}
 
 
@@ -135,12 +137,14 @@ class JoinGraph:
         return [Step(a, b, e) for a, b, e in [*forward, *back] if a != b and e.may_reduce(b)]
 
     def reduce(self, mode: TransferMode) -> dict[str, DataFrame]:
-        """The relations after transfer: steps from a relation that is still whole are left out."""
+        """The relations after transfer. Left out are steps from a relation that is still whole, and those
+        to a small one that filters no other afterwards."""
         now = {n: r.df for n, r in self.relations.items()}
         steps = self.schedule(mode)
         less = {n for n, r in self.relations.items() if not steps or _filtered(r.df)}
-        for step in steps:
-            if step.source in less:
+        for k, step in enumerate(steps):
+            last = all(s.source != step.target for s in steps[k + 1 :])
+            if step.source in less and not (last and self.relations[step.target].rows < LEAST_TARGET):
                 now[step.target] = semi_reduce(now[step.target], step.edge.keys(step.target), now[step.source], step.edge.keys(step.source), self.relations[step.source].rows)
                 less.add(step.target)
         return now

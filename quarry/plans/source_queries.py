@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quarry.session import table
 from quarry.sources import readers, tables
-from quarry.sources.fulltext import match_bm25, postings
 from quarry.streaming.windows import windowed_counts
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -100,12 +99,6 @@ def dml_insert_ignore(s, d):
     return _balances(s, d).upsert(new, ["s_suppkey"], "ignore").read()
 
 
-@query("search_bm25", None)
-def search_bm25(s, d):
-    docs = table(s, d, "documents")
-    return match_bm25(postings(docs, "doc_id", "text"), docs, "doc_id", "heatly heinger thing")
-
-
 @query("stream_windows", "SELECT time_bucket(INTERVAL '6 hours', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(s, d):
     """The table as a stream, run to its end; the windows that were kept up to date are the result."""

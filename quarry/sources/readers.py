@@ -95,28 +95,41 @@ def parquet_schema(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in fields], "name string, type string, nullable boolean")
 
 
+def _footers(spark: SparkSession, path: str):
+    """(file, footer) of each Parquet file, footers alone being read, one after the other, on the driver."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in sorted(spark.read.parquet(path).inputFiles()):
+        at = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name)), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(at)
+        try:
+            yield name, reader.getFooter()
+        finally:
+            reader.close()
+
+
 def parquet_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file, row group and column, from the footers, read where the files are."""
+    """One row per file, row group and column, from the footers."""
+    rows = []
+    for name, footer in _footers(spark, path):
+        for g, block in enumerate(footer.getBlocks()):
+            for k, c in enumerate(block.getColumns()):
+                s = c.getStatistics()
+                known = s is not None and s.hasNonNullValue()
+                rows.append((name, g, k, c.getPath().toDotString(), c.getPrimitiveType().getPrimitiveTypeName().name(), block.getRowCount(), c.getValueCount(), s.minAsString() if known else None, s.maxAsString() if known else None, s.getNumNulls() if s is not None and s.isNumNullsSet() else None, c.getCodec().name(), c.getTotalSize(), c.getTotalUncompressedSize()))
+    shape = "file_name string, row_group_id int, column_id int, path_in_schema string, type string, row_group_num_rows long, num_values long, stats_min string, stats_max string, stats_null_count long, compression string, total_compressed_size long, total_uncompressed_size long"
+    return spark.createDataFrame(rows, shape)
+
 
-    def run(batches):
-        import pyarrow as pa
-        import pyarrow.parquet as pq
+def parquet_file_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file: who wrote it, its rows and row groups."""
+    rows = [(name, f.getFileMetaData().getCreatedBy(), sum(b.getRowCount() for b in f.getBlocks()), len(f.getBlocks())) for name, f in _footers(spark, path)]
+    return spark.createDataFrame(rows, "file_name string, created_by string, num_rows long, num_row_groups int")
 
-        for b in batches:
-            rows = []
-            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                meta = pq.ParquetFile(pa.BufferReader(content)).metadata
-                for g in range(meta.num_row_groups):
-                    for k in range(meta.num_columns):
-                        c = meta.row_group(g).column(k)
-                        s = c.statistics
-                        rows.append((name, g, c.path_in_schema, c.physical_type, meta.row_group(g).num_rows, str(s.min) if s and s.has_min_max else None, str(s.max) if s and s.has_min_max else None, s.null_count if s else None, c.compression, c.total_compressed_size, c.total_uncompressed_size))
-            names = ["file_name", "row_group_id", "path_in_schema", "type", "num_values", "stats_min", "stats_max", "stats_null_count", "compression", "total_compressed_size", "total_uncompressed_size"]
-            kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    shape = "file_name string, row_group_id int, path_in_schema string, type string, num_values long, stats_min string, stats_max string, stats_null_count long, compression string, total_compressed_size long, total_uncompressed_size long"
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, shape)
+def parquet_kv_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """One row per file and key of its own metadata."""
+    rows = [(name, k, v) for name, f in _footers(spark, path) for k, v in sorted(dict(f.getFileMetaData().getKeyValueMetaData()).items())]
+    return spark.createDataFrame(rows, "file_name string, key string, value string")
 
 
 def all_types(spark: SparkSession) -> DataFrame:
@@ -134,3 +147,20 @@ def catalog_tables(spark: SparkSession) -> DataFrame:
 
 def settings(spark: SparkSession) -> DataFrame:
     return spark.sql("SET -v").select(F.col("key").alias("name"), "value", F.col("meaning").alias("description"))
+
+
+def catalog_columns(spark: SparkSession) -> DataFrame:
+    rows = [(x.catalog, ".".join(x.namespace or []), x.name, i, c.name, c.dataType, c.nullable) for x in spark.catalog.listTables() for i, c in enumerate(spark.catalog.listColumns(x.name))]
+    return spark.createDataFrame(rows, "database_name string, schema_name string, table_name string, column_index int, column_name string, data_type string, is_nullable boolean")
+
+
+def catalog_views(spark: SparkSession) -> DataFrame:
+    return catalog_tables(spark).filter("table_type in ('VIEW', 'TEMPORARY')").withColumnRenamed("table_name", "view_name")
+
+
+def catalog_functions(spark: SparkSession) -> DataFrame:
+    """The engine's names and Spark's."""
+    from quarry.functions import FUNCTIONS
+
+    rows = [(n, "quarry") for n in FUNCTIONS] + [(f.name, "spark") for f in spark.catalog.listFunctions()]
+    return spark.createDataFrame(sorted(set(rows)), "function_name string, origin string")

@@ -199,6 +199,26 @@ class StoredTable:
         self._enforce(changed, self._read(schema, rest))
         return self._commit(n, schema, rest + self._add(changed))
 
+    def add_column(self, name: str, kind: str) -> StoredTable:
+        """ALTER TABLE .. ADD COLUMN: null in the rows that are there; no file is written again."""
+        n, schema, files = self._now()
+        if name in schema.names:
+            raise ValueError(f"there is a column {name}")
+        return self._commit(n, StructType([*schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields]), files)
+
+    def drop_column(self, name: str) -> StoredTable:
+        """ALTER TABLE .. DROP COLUMN: files are written again without it, so that a later column of its
+        name starts empty."""
+        n, schema, files = self._now()
+        kept = StructType([f for f in schema.fields if f.name != name])
+        return self._commit(n, kept, self._add(self._read(schema, files).select(*kept.names)) if files else [])
+
+    def rename_column(self, old: str, new: str) -> StoredTable:
+        """ALTER TABLE .. RENAME COLUMN."""
+        n, schema, files = self._now()
+        df = self._read(schema, files).withColumnRenamed(old, new)
+        return self._commit(n, df.schema, self._add(df) if files else [])
+
     # Constraints
 
     def _enforce(self, new: DataFrame, others: DataFrame | None = None) -> None:

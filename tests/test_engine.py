@@ -92,6 +92,68 @@ def test_positions_are_dense_over_many_partitions(spark):
     assert sorted((r["v"], r["__pos"]) for r in rows) == [(i, i) for i in range(1000)]
 
 
+def test_positions_keep_all_rows_when_plans_coalesce(spark):
+    """Wide rows and small advisory sizes, where a count and its rows would be cut differently."""
+    from quarry.operators.joins import positional_join, positions
+
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "40"}
+    was = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(60_000).select(F.xxhash64("id").alias("k"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 12).alias("wide"))
+        row = positions(df, ["k"]).agg(F.count("*"), F.min("__pos"), F.max("__pos"), F.count_distinct("__pos")).first()
+        assert tuple(row) == (60_000, 0, 59_999, 60_000)
+        assert positional_join(df, spark.range(60_010).withColumnRenamed("id", "n"), ["k"], ["n"]).filter("k is null").count() == 10
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_outer_forms_of_salted_and_range_joins(spark):
+    from quarry.operators import joins as J
+
+    left = spark.createDataFrame([(1, "x"), (2, "y"), (2, "y")], "k int, a string")
+    right = spark.createDataFrame([(2, "p"), (3, "q"), (None, "n")], "k int, b string")
+    got = lambda how: sorted(map(str, map(tuple, J.salted_join(left, right, ["k"], 4, how).collect())))
+    hit = ["(2, 'y', 'p')"] * 2
+    assert got("inner") == hit and got("left") == ["(1, 'x', None)", *hit]
+    assert got("right") == [*hit, "(3, None, 'q')", "(None, None, 'n')"] and got("full") == ["(1, 'x', None)", *hit, "(3, None, 'q')", "(None, None, 'n')"]
+    points = spark.createDataFrame([(1.0,), (7.0,)], "p double")
+    spans = spark.createDataFrame([(0.0, 3.0), (100.0, 250.0), (None, 1.0)], "lo double, hi double")
+    for how, n in (("inner", 1), ("left", 2), ("right", 3), ("full", 4)):
+        assert J.range_join(points, spans, "p", "lo", "hi", 10.0, (), how).count() == n
+    a, b = spark.range(300).withColumnRenamed("id", "x"), spark.range(100).withColumnRenamed("id", "y")
+    for op, n in ((">", sum(min(x, 100) for x in range(300))), ("<=", sum(100 - x for x in range(100)))):
+        assert J.merge_join(a, b, "x", "y", op).count() == n
+    assert J.merge_join(a.limit(0), b, "x", "y").count() == 0
+
+
+@pytest.mark.parametrize("op", [">=", ">", "<=", "<"])
+@pytest.mark.parametrize("how", ["inner", "left", "right"])
+def test_asof_without_keys_is_the_nearest_row(spark, how, op):
+    import random
+
+    from quarry.operators.joins import asof_join
+
+    rng = random.Random(3)
+    ls = [(i, rng.choice([None, *range(40)])) for i in range(60)]
+    rs = [(rng.choice([None, *range(0, 40, 3)]), j) for j in range(25)]
+    want = []
+    test = {">=": lambda a, b: a >= b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, "<": lambda a, b: a < b}[op]
+    used = set()
+    for i, t in ls:
+        near = [r for r in rs if t is not None and r[0] is not None and test(t, r[0])]
+        best = max(near, key=lambda r: (r[0] if op[0] == ">" else -r[0], r[1]), default=None)
+        used.add(best)
+        if best or how == "left":
+            want.append((i, t, *(best or (None, None))))
+    if how == "right":
+        want += [(None, None, *r) for r in rs if r not in used]
+    got = asof_join(spark.createDataFrame(ls, "i int, t int").repartition(3), spark.createDataFrame(rs, "u int, j int"), "t", "u", (), how, op)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_stored_table_changes(spark, tmp_path):
     from quarry.sources.tables import StoredTable
 
@@ -103,6 +165,66 @@ def test_stored_table_changes(spark, tmp_path):
     assert t.version() == 3 and t.read(0).count() == 3
 
 
+def test_stored_table_keeps_keys_and_versions(spark, tmp_path):
+    from quarry.sources.tables import StoredTable
+
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, v string")
+    t = StoredTable(spark, f"file://{tmp_path}/t", not_null=["v"], unique=[["k"]], defaults={"v": F.lit("none")}).create(rows(*[(i, "a") for i in range(20)]).repartition(5))
+    t.upsert(rows((30, "x"), (30, "w"), (3, "no")), ["k"], "ignore")
+    assert sorted(map(tuple, t.read().filter("k in (3, 30)").collect())) == [(3, "a"), (30, "w")]
+    with pytest.raises(ValueError, match="share a key"):
+        t.upsert(rows((1, "x"), (1, "y")), ["k"])
+    for bad in (lambda: t.insert(rows((3, "again"))), lambda: t.insert(rows((50, None))), lambda: t.update({"k": F.lit(1)}, F.col("k") == 2)):
+        with pytest.raises(ValueError, match="constraints"):
+            bad()
+    assert t.version() == 1
+    t.insert(rows((60, "z")).select("k"))
+    assert t.read().filter("k = 60").first()["v"] == "none"
+    before = set(t._manifest(t.version())["files"])
+    t.delete(F.col("k") == 4)
+    after = set(t._manifest(t.version())["files"])
+    assert len(before - after) == 1  # other files stay as they are
+    n, schema, files = t._now()
+    t.insert(rows((70, "q")))
+    with pytest.raises(RuntimeError, match="another writer"):
+        t._commit(n, schema, files)  # of two changes to one version the later fails
+    assert t.read().filter("k = 70").count() == 1
+    t.truncate()
+    assert t.read().count() == 0 and t.drop_column("v").read().columns == ["k"]
+
+
+def test_sql_answers_or_refuses(spark):
+    from quarry.sql import sql
+
+    spark.createDataFrame([(1,), (3,), (2,), (None,)], "x int").createOrReplaceTempView("xs")
+    one = lambda text: sql(spark, text).first()[0]
+    assert one("SELECT list(x ORDER BY x DESC) FROM xs") == [3, 2, 1, None]
+    assert one("SELECT list(x ORDER BY x) FROM xs") == [1, 2, 3, None]
+    assert one("SELECT list(x ORDER BY x DESC NULLS FIRST) FROM xs") == [None, 3, 2, 1]
+    assert one("SELECT string_agg(x::VARCHAR, ',' ORDER BY x DESC) FROM xs") == "3,2,1"
+    assert one("SELECT [1, 2, 3, 4, 5][5:1:-2]") == [5, 3, 1]
+    spark.createDataFrame([(1,), (2,), (3,)], "a int").createOrReplaceTempView("aa")
+    spark.createDataFrame([(2,), (5,), (0,)], "b int").createOrReplaceTempView("bb")
+    assert sql(spark, "SELECT * FROM aa POSITIONAL JOIN bb").count() == 3
+    assert sorted(map(tuple, sql(spark, "SELECT * FROM aa ASOF JOIN bb ON a >= b").collect())) == [(1, 0), (2, 2), (3, 2)]
+    assert sql(spark, "SELECT 1 AS a UNION ALL BY NAME SELECT 2 AS b").columns == ["a", "b"]
+    for text in ("SELECT * FROM aa ASOF JOIN bb USING (a)", "SELECT * FROM aa ASOF JOIN bb ON a = b", "SELECT [1, 2][1:2:x] FROM xs"):
+        with pytest.raises(ValueError):
+            sql(spark, text)
+
+
+def test_transfer_of_parts_that_no_edge_connects(spark):
+    from quarry.operators.transfer import JoinGraph, TransferMode
+
+    a, b, c = (spark.range(n).withColumnRenamed("id", name) for n, name in ((3, "a"), (4, "b"), (2, "c")))
+    g = JoinGraph().add("a", a).add("b", b).add("c", c).add("d", c.withColumnRenamed("c", "d")).join("a", "b", ("a", "b")).join("c", "d", ("c", "d"))
+    for mode in TransferMode:
+        assert g.execute(mode).count() == 6
+    from quarry.operators.transfer import estimated
+
+    assert estimated(spark.read.parquet("/root/testdata/sf0.001/orders.parquet").filter("o_orderkey < 10")) == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").filter("o_orderkey < 10").count()
+
+
 def test_summarize_and_unnest(spark):
     from quarry.operators.relational import summarize, unnest
 
@@ -126,6 +248,15 @@ def test_functions_on_edges(spark):
     assert val(f("gcd", F.lit(0), F.lit(0))) == 0 and val(f("lcm", F.lit(0), F.lit(3))) == 0
     assert val(f("json_valid", F.lit('{"a":"}"}'))) and not val(f("json_valid", F.lit("{")))
     assert val(f("map_extract", F.create_map(F.lit("a"), F.lit(1)), "b")) == []
+    big = F.lit(9007199254740993)
+    assert val(f("//", big, F.lit(1))) == 9007199254740993 and val(f("lcm", big, F.lit(1))) == 9007199254740993 and val(f("lcm", F.lit(6 * 10**18), F.lit(6))) == 6 * 10**18
+    assert val(f("setseed", 0.3)) is None
+    first = val(f("random"))
+    f("setseed", 0.3)
+    assert val(f("random")) == first
+    assert val(f("version")) and val(f("current_database")) and val(f("current_setting", "spark.sql.session.timeZone")) == "UTC"
+    assert val(f("alias", F.col("id"))) == "id" and val(f("julian", F.lit("2024-01-01 06:00:00").cast("timestamp"))) == 2460311.25
+    assert val(f("host", F.lit("10.0.0.1/8"))) == "10.0.0.1"
 
 
 def test_streaming_windows(spark, tmp_path):
