@@ -8,14 +8,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes in one Arrow batch. Texts can be very long, so batches stay short.
-ARROW_ROWS, ARROW_BYTES = 256, 8 * 1024 * 1024
+#: Rows and bytes in one Arrow batch, rows in one batch of the Parquet reader. Texts can be very long, so
+#: batches stay short: a reader's batch holds all its texts in one array, which grows the heap for good.
+ARROW_ROWS, ARROW_BYTES, READER_ROWS = 256, 8 * 1024 * 1024, 256
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches small enough for rows that hold whole documents."""
+    """Keep batches small enough for rows that hold whole documents."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
     return spark
 
 
