@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarry.operators.transfer import TransferMode
 from quarry.session import register
 from quarry.sql import sql
 
@@ -46,13 +47,22 @@ TEXTS = {
 }
 
 
-def _run(text: str):
+#: Run with transfer over the join graph that their text has.
+TRANSFERRED = {
+    "sql_transfer_local": "SELECT n_name, round(sum(l.l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer, orders o, lineitem l, supplier s, nation AS n JOIN region r ON n.n_regionkey = r.r_regionkey WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND c_nationkey = s_nationkey AND s.s_nationkey = n_nationkey AND r_name = 'ASIA' AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-12-31' AND (l_quantity > 5 OR l_tax > 0.01) GROUP BY n_name ORDER BY revenue DESC",
+    "sql_transfer_with": "WITH big AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 3) SELECT c_name, n_name, big.n FROM customer c JOIN nation ON c.c_nationkey = n_nationkey JOIN big ON big.k = c_custkey WHERE n_name LIKE '%A%' AND c_acctbal > 0",
+    "sql_transfer_self": "SELECT a.n_name AS x, b.n_name AS y FROM nation a, nation b, region WHERE a.n_regionkey = b.n_regionkey AND a.n_regionkey = r_regionkey AND r_name <> 'ASIA' AND a.n_nationkey < b.n_nationkey",
+    "sql_transfer_outer": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_nationkey = 3 GROUP BY c_custkey",
+}
+
+
+def _run(text: str, transfer=None):
     def run(spark, sf_dir):
         register(spark, sf_dir, *TABLES)
-        return sql(spark, text)
+        return sql(spark, text, transfer)
 
     return run
 
 
-QUERIES = {name: _run(text) for name, text in TEXTS.items()}
-ORACLE_SQL = dict(TEXTS)
+QUERIES = {name: _run(text) for name, text in TEXTS.items()} | {name: _run(text, TransferMode.RPT) for name, text in TRANSFERRED.items()}
+ORACLE_SQL = TEXTS | TRANSFERRED

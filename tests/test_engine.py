@@ -225,6 +225,37 @@ def test_transfer_of_parts_that_no_edge_connects(spark):
     assert estimated(spark.read.parquet("/root/testdata/sf0.001/orders.parquet").filter("o_orderkey < 10")) == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").filter("o_orderkey < 10").count()
 
 
+def test_join_graph_of_a_text(spark, sf_dir):
+    from quarry.operators.transfer import TransferMode
+    from quarry.plans.sql_queries import TABLES, TRANSFERRED
+    from quarry.session import register
+    from quarry.sql import sql, tokens, tree
+    from quarry.transfer_sql import conjuncts, join_graph
+
+    register(spark, sf_dir, *TABLES)
+    graph, found = join_graph(spark, tree(tokens(TRANSFERRED["sql_transfer_local"])))
+    assert [a for _, a in found] == ["customer", "o", "l", "s", "n", "r"]
+    assert {frozenset((e.left, e.right)) for e in graph.edges} == {frozenset(x) for x in (("customer", "o"), ("l", "o"), ("l", "s"), ("customer", "s"), ("s", "n"), ("n", "r"))}
+    assert graph.relations["r"].rows == 1 and graph.relations["o"].rows < 1500 / 4
+    assert graph.reduce(TransferMode.RPT)["l"].count() < graph.relations["l"].rows / 2
+    assert join_graph(spark, tree(tokens(TRANSFERRED["sql_transfer_outer"]))) is None
+    assert len(conjuncts(tokens("a = 1 AND b BETWEEN 2 AND 3 AND c"))) == 3 and conjuncts(tokens("a AND b OR c")) == []
+    for mode in TransferMode:
+        for text in TRANSFERRED.values():
+            assert sorted(map(str, sql(spark, text, mode).collect())) == sorted(map(str, sql(spark, text).collect()))
+
+
+def test_transfer_past_the_largest_filter_is_a_semi_join(spark, monkeypatch):
+    from quarry.operators import transfer as T
+
+    a, b = spark.range(1000).withColumnRenamed("id", "a"), spark.range(0, 100, 7).withColumnRenamed("id", "b")
+    want = [r[0] for r in b.filter("b < 1000").collect()]
+    for most in (1 << 26, 1 << 3):  # the same rows by a filter and by the join
+        monkeypatch.setattr(T, "MOST_BITS", most)
+        got = sorted(r[0] for r in T.semi_reduce(a, ["a"], b, ["b"], 15).collect())
+        assert set(want) <= set(got) and (most > 8 or got == want)
+
+
 def test_summarize_and_unnest(spark):
     from quarry.operators.relational import summarize, unnest
 
