@@ -530,6 +530,21 @@ def test_store_finds_a_lost_recipe(spark, docs, tmp_path):
             read(spark, f"file://{tmp_path}/b").collect()
 
 
+def test_store_finds_a_changed_manifest(spark, docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quarry.llm import tokenstore as S
+
+    folder = S.write_store(docs, f"file://{tmp_path}/a")
+    for k, (column, value) in enumerate((("root", F.lit("bad").cast("binary")), ("n_docs", F.lit(999).cast("long")), ("base", F.col("base") + 1))):
+        for x in ("segments", "recipes"):
+            spark.read.parquet(f"{folder}/{x}").write.parquet(f"file://{tmp_path}/{k}/{x}")
+        spark.read.parquet(f"{folder}/manifest").withColumn(column, value).write.parquet(f"file://{tmp_path}/{k}/manifest")
+        for read in (S.read_digests, S.read_documents):
+            with pytest.raises(ValueError, match="manifest"):
+                read(spark, f"file://{tmp_path}/{k}").collect()
+
+
 def test_crc32_of_joined_parts():
     from quarry.llm.tokenstore import crc32_joined
 
@@ -646,6 +661,31 @@ def test_packing_places_every_piece_once(docs, empty):
     assert pack_documents(empty).count() == 0
 
 
+def test_plan_is_near_the_fewest_bins():
+    """Against the fewest bins by trying all ways, on small sets of pieces."""
+    from functools import lru_cache
+
+    from quarry.llm.packing import plan
+
+    @lru_cache(maxsize=None)
+    def fewest(left: tuple, gaps: tuple) -> int:
+        if not left:
+            return len(gaps)
+        n, rest = left[0], left[1:]
+        ways = {tuple(sorted([*gaps[:i], gaps[i] - n, *gaps[i + 1 :]])) for i in range(len(gaps)) if gaps[i] >= n}
+        return min(fewest(rest, g) for g in [*ways, tuple(sorted([*gaps, 12 - n]))])
+
+    rng = np.random.default_rng(2)
+    over = 0
+    for _ in range(60):
+        pieces = sorted(rng.integers(1, 13, rng.integers(1, 9)).tolist(), reverse=True)
+        counts = [pieces.count(n) for n in range(13)]
+        got, least = sum(times for _, times in plan(counts, 12)), fewest(tuple(pieces), ())
+        assert least <= got <= least + 1
+        over += got - least
+    assert over <= 3
+
+
 def test_plan_uses_all_and_packs_tightly():
     from quarry.llm.packing import plan
 
