@@ -336,7 +336,7 @@ for _names, _f in {
     ("map_keys",): F.map_keys,
     ("map_values",): F.map_values,
     ("map_extract", "element_at"): lambda m, k: F.when(F.map_contains_key(m, k), F.array(F.try_element_at(m, _c(k)))).otherwise(F.slice(F.map_values(m), 1, 0)),
-    ("map_concat",): lambda *m: F.map_from_entries(F.concat(*[F.filter(F.map_entries(x), lambda e, rest=tuple(m[i + 1 :]): ~_in_any(e, rest)) for i, x in enumerate(m)])),
+    ("map_concat",): lambda *m: F.map_from_entries(F.concat(*[_not_later(x, m[i + 1 :]) for i, x in enumerate(m)])),
     ("struct_pack",): lambda **kw: F.struct(*[_c(v).alias(k) for k, v in kw.items()]),
     ("row",): lambda *v: F.struct(*map(_c, v)),
     ("struct_extract",): lambda s, n: s[n],
@@ -346,6 +346,11 @@ for _names, _f in {
     named(*_names)(_f)
 
 
+def _not_later(m: Column, rest: tuple) -> Column:
+    """Entries of a map whose key no later map has."""
+    return F.filter(F.map_entries(m), lambda e: ~_in_any(e, rest))
+
+
 def _in_any(entry: Column, maps: tuple[Column, ...]) -> Column:
     out = F.lit(False)
     for m in maps:
@@ -626,7 +631,7 @@ for _names, _f in {
     ("parse_filename",): lambda s: F.element_at(F.split(s, r"[/\\]"), -1),
     ("parse_dirname",): lambda s: F.element_at(F.split(s, r"[/\\]"), 1),
     ("parse_dirpath",): lambda s: F.regexp_extract(s, r"^(.*)[/\\][^/\\]*$", 1),
-    ("parse_path",): lambda s: F.split(s, r"[/\\]"),
+    ("parse_path",): lambda s: F.concat(F.when(_c(s).rlike(r"^[/\\]"), F.array(F.substring(_c(s), 1, 1))).otherwise(F.array().cast("array<string>")), F.filter(F.split(_c(s), r"[/\\]"), lambda p: p != "")),
 }.items():
     named(*_names)(_f)
 
@@ -788,7 +793,7 @@ for _names, _f in {
     ("monthname",): lambda d: F.date_format(d, "MMMM"),
     ("dayname",): lambda d: F.date_format(d, "EEEE"),
     ("make_date",): F.make_date,
-    ("make_timestamp",): lambda y, m, d, h, mi, s: F.make_timestamp_ntz(y, m, d, h, mi, s),
+    ("make_timestamp",): lambda y, m, d, h, mi, s: F.make_timestamp_ntz(*map(_c, (y, m, d, h, mi, s))),
     ("epoch_ms",): lambda d: F.unix_millis(d.cast("timestamp")),
     ("epoch_us",): lambda d: F.unix_micros(d.cast("timestamp")),
     ("epoch_ns",): lambda d: F.unix_micros(d.cast("timestamp")) * 1000,
@@ -829,6 +834,12 @@ def _java_format(f: str) -> str:
 
 # JSON
 
+def _json_value(x: Column) -> Column:
+    """A value of any type as JSON: what a list of it holds between its brackets."""
+    listed = F.to_json(F.array(x))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 for _names, _f in {
     ("json_extract", "json_extract_path", "->"): lambda j, p: F.get_json_object(j, _json_path(p)),
     ("json_extract_string", "json_extract_path_text", "->>"): lambda j, p: F.get_json_object(j, _json_path(p)),
@@ -836,8 +847,9 @@ for _names, _f in {
     ("json_keys",): F.json_object_keys,
     ("json_valid",): lambda j: F.try_parse_json(j).isNotNull() & _balanced(j),
     ("json_type",): lambda j: _json_type(j),
-    ("json_object", "to_json", "json_quote", "row_to_json", "array_to_json"): lambda x: F.to_json(x),
-    ("json_array",): lambda *x: F.to_json(F.array(*x)),
+    ("json_object",): lambda *x: F.to_json(_c(x[0])) if len(x) == 1 else F.to_json(F.struct(*[_c(v).alias(k) for k, v in zip(x[::2], x[1::2], strict=True)]), {"ignoreNullFields": "false"}),
+    ("to_json", "json_quote", "row_to_json", "array_to_json"): lambda x: F.to_json(x),
+    ("json_array",): lambda *x: F.concat(F.lit("["), F.concat_ws(",", *[_json_value(_c(v)) for v in x]), F.lit("]")),
     ("json_transform", "from_json"): lambda j, shape: F.from_json(j, shape),
     ("json_transform_strict", "from_json_strict"): lambda j, shape: F.from_json(j, shape, {"mode": "FAILFAST"}),
     ("json_structure",): lambda j: F.schema_of_json(j),

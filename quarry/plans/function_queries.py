@@ -336,6 +336,71 @@ MORE: list[Case] = [
 ]
 
 
+def _l() -> Column:
+    return F.array(c("p_size"), F.lit(2), F.lit(2))
+
+
+def _of_list(name: str) -> Case:
+    return f"{name}_", lambda: F.round(f(f"list_{name}", _l()).cast("double"), 6), f"round(CAST(list_{name}([p_size, 2, 2]) AS DOUBLE), 6)"
+
+
+#: Functions that no other query names.
+REST: list[Case] = [
+    *[_of_list(n) for n in ("product", "var_pop", "var_samp", "stddev_pop", "stddev_samp")],
+    ("first_", lambda: f("list_first", _l()), "list_first([p_size, 2, 2])"),
+    ("last_", lambda: f("list_last", _l()), "list_last([p_size, 2, 2])"),
+    ("mode_", lambda: f("list_mode", F.array(c("p_size"), F.lit(2), F.lit(2), c("p_size"), F.lit(2))), "list_mode([p_size, 2, 2, p_size, 2])"),
+    ("unique_", lambda: f("list_approx_count_distinct", _l()).cast("long"), "CAST(len(list_distinct([p_size, 2, 2])) AS BIGINT)"),
+    ("and_", lambda: f("list_bool_and", F.array(c("p_size") > 5, F.lit(True))), "list_bool_and([p_size > 5, true])"),
+    ("or_", lambda: f("list_bool_or", F.array(c("p_size") > 5, F.lit(False))), "list_bool_or([p_size > 5, false])"),
+    ("joined_", lambda: f("list_string_agg", F.array(c("p_name"), F.lit("x"))), "list_string_agg([p_name, 'x'])"),
+    ("value_", lambda: F.array_join(f("list_value", c("p_size"), F.lit(1)), ","), "array_to_string(list_value(p_size, 1), ',')"),
+    ("zip_", lambda: F.array_join(F.transform(f("list_zip", F.array(c("p_size"), F.lit(1)), F.array(F.lit(7))), lambda s: F.to_json(F.struct(F.coalesce(s["0"], F.lit(-1)).alias("a"), F.coalesce(s["1"], F.lit(-1)).alias("b")))), ""), "concat('{\"a\":', p_size, ',\"b\":7}{\"a\":1,\"b\":-1}')"),
+    ("subs", lambda: F.array_join(f("generate_subscripts", F.array(c("p_size"), c("p_size"))), ","), "array_to_string((SELECT list(i) FROM (SELECT generate_subscripts([p_size, p_size], 1) AS i)), ',')"),
+    ("entries", lambda: F.array_join(F.transform(f("map_entries", F.create_map(c("p_name"), c("p_size"))), lambda e: F.concat_ws(":", e["key"], e["value"])), ","), "array_to_string(list_transform(map_entries(MAP {p_name: p_size}), lambda e: concat(e.key, ':', e.value)), ',')"),
+    ("from_entries", lambda: f("map_from_entries", F.array(F.struct(F.lit("a"), c("p_size"))))["a"], "map_from_entries([('a', p_size)])['a']"),
+    ("concat_", lambda: f("map_concat", F.create_map(F.lit("a"), c("p_size")), F.create_map(F.lit("b"), F.lit(2)))["b"], "map_concat(MAP {'a': p_size}, MAP {'b': 2})['b']"),
+    ("has_key", lambda: f("map_contains", F.create_map(F.lit("a"), c("p_size")), "a"), "map_contains(MAP {'a': p_size}, 'a')"),
+    ("row_", lambda: f("row", c("p_size"), c("p_name"))["p_name"], "row(p_size, p_name)[2]"),
+    ("bank", lambda: f("round_even", c("p_size") / 2, 0), "round_even(p_size / 2, 0)"),
+    ("plus", lambda: f("add", c("p_size"), 3), "add(p_size, 3)"),
+    ("minus", lambda: f("subtract", c("p_size"), 3), "subtract(p_size, 3)"),
+    ("times", lambda: f("multiply", c("p_size"), 3), "multiply(p_size, 3)"),
+    ("is_null", lambda: f("isnull", F.nullif(c("p_size"), F.lit(7))), "nullif(p_size, 7) IS NULL"),
+    ("either", lambda: f("ifnull", F.nullif(c("p_size"), F.lit(7)), 0), "ifnull(nullif(p_size, 7), 0)"),
+    ("not_like", lambda: f("not_like_escape", c("p_name"), F.lit("%a$%%"), F.lit("$")), "not_like_escape(p_name, '%a$%%', '$')"),
+    ("ilike_", lambda: f("ilike_escape", c("p_name"), F.lit("%A%"), F.lit("$")), "ilike_escape(p_name, '%A%', '$')"),
+    ("not_ilike", lambda: f("not_ilike_escape", c("p_name"), F.lit("%A%"), F.lit("$")), "not_ilike_escape(p_name, '%A%', '$')"),
+    ("path", lambda: F.array_join(f("parse_path", F.concat(F.lit("/a/"), c("p_name"))), "|"), "array_to_string(parse_path('/a/' || p_name), '|')"),
+    ("unbin_", lambda: F.decode(f("unbin", F.lit("0110000101100010")), "UTF-8"), "CAST(unbin('0110000101100010') AS VARCHAR)"),
+    ("size_", lambda: f("formatreadabledecimalsize", c("p_size") * 123456), "formatReadableDecimalSize(p_size * 123456)"),
+    ("array_json", lambda: f("json_array", c("p_size"), c("p_name")), "CAST(json_array(p_size, p_name) AS VARCHAR)"),
+    ("object_json", lambda: f("json_object", "a", c("p_size"), "b", c("p_name")), "CAST(json_object('a', p_size, 'b', p_name) AS VARCHAR)"),
+    ("strict", lambda: f("json_transform_strict", F.concat(F.lit('{"a": '), c("p_size").cast("string"), F.lit("}")), "a int")["a"], "json_transform_strict('{\"a\": ' || p_size || '}', '{\"a\": \"INTEGER\"}').a"),
+    ("enum_a", lambda: f("enum_first", c("p_type"), ["S", "M"]), "CAST('S' AS VARCHAR)"),
+    ("enum_b", lambda: f("enum_last", c("p_type"), ["S", "M"]), "CAST('M' AS VARCHAR)"),
+]
+
+
+def _part(name: str) -> Case:
+    return f"{name}_", lambda: f(name, c("o_orderdate")).cast("long"), f"CAST({name}(o_orderdate) AS BIGINT)"
+
+
+def _unit(name: str) -> Case:
+    return name, lambda: c("o_orderdate").cast("timestamp_ntz") + f(name, (c("o_custkey") % 3).cast("int")), f"o_orderdate + {name}(CAST(o_custkey % 3 AS INTEGER))"
+
+
+REST_DATES: list[Case] = [
+    *[_part(n) for n in ("year", "month", "day", "decade", "century", "millennium", "quarter", "week", "isoyear", "yearweek", "dayofweek", "isodow", "dayofyear", "era", "hour", "minute", "second", "millisecond", "microsecond", "weekday", "weekofyear", "dayofmonth")],
+    *[_unit(n) for n in ("to_microseconds", "to_milliseconds", "to_seconds", "to_minutes", "to_hours", "to_weeks", "to_months", "to_years", "to_centuries", "to_millennia")],
+    ("ns", lambda: f("epoch_ns", c("o_orderdate")), "epoch_ns(o_orderdate)"),
+    ("made", lambda: f("make_timestamp", F.year("o_orderdate"), 2, 3, 4, 5, 6.5).cast("timestamp_ntz"), "make_timestamp(year(o_orderdate), 2, 3, 4, 5, 6.5)"),
+    ("parsed", lambda: f("try_strptime", F.concat(c("o_orderkey").cast("string"), F.lit("x")), "%Y-%m-%d"), "try_strptime(o_orderkey || 'x', '%Y-%m-%d')"),
+    ("years", lambda: f("age", F.lit("2010-06-15").cast("timestamp_ntz"), c("o_orderdate").cast("timestamp_ntz"))["years"].cast("long"), "date_part('year', age(TIMESTAMP '2010-06-15', o_orderdate))"),
+    ("months", lambda: f("age", F.lit("2010-06-15").cast("timestamp_ntz"), c("o_orderdate").cast("timestamp_ntz"))["months"].cast("long"), "date_part('month', age(TIMESTAMP '2010-06-15', o_orderdate))"),
+]
+
+
 def _rows(name: str, keys: list[str], cases: list[Case]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return table(spark, sf_dir, name).select(*keys, *[of().alias(alias) for alias, of, _ in cases])
@@ -363,6 +428,8 @@ ALL = {
     "fn_dates": _rows("orders", ["o_orderkey"], DATES),
     "fn_json": _rows("events", ["event_id"], JSON),
     "fn_vectors": _rows("embeddings", ["vec_id"], VECTORS),
+    "fn_rest": _rows("part", ["p_partkey"], REST),
+    "fn_rest_dates": _rows("orders", ["o_orderkey"], REST_DATES),
     "fn_more": _rows("part", ["p_partkey"], MORE),
     "fn_ordered_aggregates": _groups("lineitem", ["l_suppkey", "l_returnflag"], ORDERED),
     "fn_mad": _groups("lineitem", ["l_suppkey"], [("mad_", lambda: F.round(f("mad", c("l_quantity")), 4), "round(mad(l_quantity), 4)")]),
