@@ -111,7 +111,7 @@ class Network:
         return loss, g
 
 
-def train(pools: list[np.ndarray], steps: int = 500, size: int = 96, rate: float = 0.012, seed: int = 11) -> Network:
+def train(pools: list[np.ndarray], steps: int = 800, size: int = 96, rate: float = 0.012, seed: int = 11) -> Network:
     """pools: for each language (of equal weight) the bytes of its texts, zero bytes around each. Adam
     with a falling rate, over windows that hold a byte of a text."""
     rng, net = np.random.default_rng(seed), Network(len(pools))
@@ -277,7 +277,7 @@ def no_language(letters: str, n: int, rng: np.random.Generator) -> list[str]:
     return ["".join(map(chr, rng.choice(kinds[k], m))) for k, m in zip(of.tolist(), sizes.tolist(), strict=True)]
 
 
-def fit(texts_of: dict[str, list[str]], seed: int = 3, steps: int = 500, reject: bool = False) -> tuple[Network | None, list[str]]:
+def fit(texts_of: dict[str, list[str]], seed: int = 3, steps: int = 800, reject: bool = False) -> tuple[Network | None, list[str]]:
     """The network and its classes. reject: with a class UNKNOWN of words of no language besides."""
     texts_of = {k: x for k, x in texts_of.items() if any(map(has_letter, x))}
     if reject and set(texts_of) - {UNKNOWN}:
