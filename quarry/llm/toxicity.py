@@ -84,7 +84,7 @@ def gradient(w: np.ndarray, bias: float, x: np.ndarray, sent: np.ndarray, doc: n
     return loss, np.bincount(x, dz[sent], len(w)), float(dz.sum())
 
 
-def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), epochs: int = 28, rate: float = 0.6, l2: float = 1e-4, least: float = 0.3, pace: float = 0.3, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit(texts: list[str], labels: list[int], weights: tuple[float, float] = (1.0, 1.0), epochs: int = 28, rate: float = 0.6, l2: float = 1e-4, least: float = 0.3, pace: float = 0.1, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights of the hash buckets and the bias. weights: of a document of class 0 and of class 1.
     pace: the rate of the bias. Without labels of both kinds nothing offends. Weights under `least` are dropped: in a long text they add up to noise."""
     if not 0 < sum(labels) < len(labels):
