@@ -144,6 +144,17 @@ def search_bm25(s, d):
     return match_bm25(postings(docs, "doc_id", "text"), docs, "doc_id", "heatly heinger thing").withColumn("score", F.round("score", 6))
 
 
+@query("search_stemmed", "SELECT id, found FROM (VALUES (1, 1), (2, 2), (4, 1)) t(id, found)")
+def search_stemmed(s, d):
+    """Words find their inflected forms, in the query and in the texts."""
+    from quarry.sources.fulltext import match_bm25, postings
+
+    docs = s.createDataFrame([(1, "He was running"), (2, "Relational operators run"), (3, "nothing here"), (4, "an operator")], "id int, text string")
+    index = postings(docs, "id", "text", stemmed=True)
+    hits = match_bm25(index, docs, "id", "runs operation", stemmed=True).select("id")
+    return index.filter("term in ('run', 'oper')").join(hits, "id", "left_semi").groupBy("id").agg(F.count("*").cast("int").alias("found"))
+
+
 @query("sample_sizes", "SELECT 100 AS reservoir, true AS near, true AS equal")
 def sample_sizes(s, d):
     """A reservoir has its size; a tenth of lineitem by chance is near that; the same seed takes the same rows."""

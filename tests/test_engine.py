@@ -256,6 +256,15 @@ def test_transfer_past_the_largest_filter_is_a_semi_join(spark, monkeypatch):
         assert set(want) <= set(got) and (most > 8 or got == want)
 
 
+def test_stems_are_those_of_the_paper():
+    from quarry.sources.stemmer import stem
+
+    pairs = "caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit rational ration valenci valenc digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll class class"
+    words = pairs.split()
+    assert [(w, stem(w)) for w in words[::2]] == list(zip(words[::2], words[1::2], strict=True))
+    assert stem("é") == "é" and stem("of") == "of" and stem("x2s") == "x2s"
+
+
 def test_summarize_and_unnest(spark):
     from quarry.operators.relational import summarize, unnest
 
