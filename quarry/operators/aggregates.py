@@ -1,8 +1,9 @@
-"""Aggregates that need two passes: each shuffles partial results only, whatever the group's size."""
+"""Aggregates that need two passes, each of which shuffles partial results only, whatever the group's
+size; and aggregates by states of a fixed size, which are stored, combined and finished later."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,3 +29,54 @@ def mad(df: DataFrame, by: list[str], x: str) -> DataFrame:
 def mode(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """(by, mode): the most frequent value, of several the smallest."""
     return histogram(df, by, x).groupBy(*by).agg(F.min(F.struct((-F.col("count")).alias("n"), "bucket"))["bucket"].alias("mode"))
+
+
+# States: (the state of rows, the state of states, the value of a state)
+
+_SAME = {"min": F.min, "max": F.max, "bool_and": F.bool_and, "bool_or": F.bool_or}
+
+
+def export_state(name: str, x: Column | str) -> Column:
+    """The state of an aggregate over a group's rows, for columns of a roll-up that are combined later:
+    count, sum, avg, min, max, bool_and, bool_or, approx_count_distinct (a sketch)."""
+    x = F.col(x) if isinstance(x, str) else x
+    if name in _SAME:
+        return F.struct(_SAME[name](x).alias("value"))
+    if name == "count":
+        return F.struct(F.count(x).alias("value"))
+    if name == "sum":
+        return F.struct(F.sum(x).alias("value"))
+    if name == "avg":
+        return F.struct(F.sum(x.cast("double")).alias("value"), F.count(x).alias("n"))
+    if name == "approx_count_distinct":
+        return F.struct(F.hll_sketch_agg(x).alias("value"))
+    raise ValueError(f"no state of {name}")
+
+
+def combine_states(name: str, state: Column | str) -> Column:
+    """The state of the rows of all states of a group. Null states count for no rows."""
+    state = F.col(state) if isinstance(state, str) else state
+    value = state["value"]
+    if name in _SAME:
+        return F.struct(_SAME[name](value).alias("value"))
+    if name == "count":
+        return F.struct(F.coalesce(F.sum(value), F.lit(0).cast("long")).alias("value"))
+    if name == "sum":
+        return F.struct(F.sum(value).alias("value"))
+    if name == "avg":
+        return F.struct(F.sum(value).alias("value"), F.coalesce(F.sum(state["n"]), F.lit(0).cast("long")).alias("n"))
+    if name == "approx_count_distinct":
+        return F.struct(F.hll_union_agg(value).alias("value"))
+    raise ValueError(f"no state of {name}")
+
+
+def finish_state(name: str, state: Column | str) -> Column:
+    """The aggregate's value; of a state without rows null, for counts 0."""
+    state = F.col(state) if isinstance(state, str) else state
+    if name == "count":
+        return F.coalesce(state["value"], F.lit(0))
+    if name == "avg":
+        return F.when(state["n"] > 0, state["value"] / state["n"])
+    if name == "approx_count_distinct":
+        return F.coalesce(F.hll_sketch_estimate(state["value"]), F.lit(0))
+    return state["value"]

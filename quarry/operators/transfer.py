@@ -43,6 +43,7 @@ class TransferMode(Enum):
     BLOOM_JOIN = "bloom_join"
     PT = "pt"
     RPT = "rpt"
+    RPT_RANDOM_ROOT = "rpt_random_root"
 
 
 class JoinOrder(Enum):
@@ -109,11 +110,14 @@ class JoinGraph:
     def _size(self, name: str) -> tuple[float, str]:
         return (self.relations[name].rows, name)
 
-    def spanning_tree(self) -> list[tuple[str, str, Edge]]:
+    def spanning_tree(self, rng: random.Random | None = None) -> list[tuple[str, str, Edge]]:
         """(parent, child, edge) from the largest relation of each connected part on, growing by the
-        largest relation in reach."""
+        largest relation in reach; with rng from any relation on, by the same growth."""
         out, done = [], set()
-        for root in sorted(self.relations, key=self._size, reverse=True):
+        roots = sorted(self.relations, key=self._size, reverse=True)
+        if rng:
+            rng.shuffle(roots)
+        for root in roots:
             if root in done:
                 continue
             done.add(root)
@@ -123,12 +127,12 @@ class JoinGraph:
                 out.append((parent, child, edge))
         return out
 
-    def schedule(self, mode: TransferMode) -> list[Step]:
-        """Every step of the mode, in order."""
+    def schedule(self, mode: TransferMode, seed: int = 0) -> list[Step]:
+        """Every step of the mode, in order. The seed chooses a random root."""
         if mode is TransferMode.NONE:
             return []
-        if mode is TransferMode.RPT:
-            tree = self.spanning_tree()
+        if mode in (TransferMode.RPT, TransferMode.RPT_RANDOM_ROOT):
+            tree = self.spanning_tree(random.Random(seed) if mode is TransferMode.RPT_RANDOM_ROOT else None)
             forward = [(c, p, e) for p, c, e in reversed(tree)]
         else:
             directed = [(*sorted((e.left, e.right), key=self._size), e) for e in self.edges]
@@ -136,11 +140,11 @@ class JoinGraph:
         back = [] if mode is TransferMode.BLOOM_JOIN else [(b, a, e) for a, b, e in reversed(forward)]
         return [Step(a, b, e) for a, b, e in [*forward, *back] if a != b and e.may_reduce(b)]
 
-    def reduce(self, mode: TransferMode) -> dict[str, DataFrame]:
+    def reduce(self, mode: TransferMode, seed: int = 0) -> dict[str, DataFrame]:
         """The relations after transfer. Left out are steps from a relation that is still whole, and those
         to a small one that filters no other afterwards."""
         now = {n: r.df for n, r in self.relations.items()}
-        steps = self.schedule(mode)
+        steps = self.schedule(mode, seed)
         less = {n for n, r in self.relations.items() if not steps or _filtered(r.df)}
         for k, step in enumerate(steps):
             last = all(s.source != step.target for s in steps[k + 1 :])
@@ -176,7 +180,7 @@ class JoinGraph:
         """Joins of the reduced relations; all columns, the right side's equal join columns dropped if
         they share a name. Outer, semi and anti edges are taken in the order they were declared, so
         graphs that have one ignore `order`."""
-        now = self.reduce(mode)
+        now = self.reduce(mode, seed)
         if any(e.how != "inner" for e in self.edges) or order is JoinOrder.CATALYST:
             return self._declared(now)
         plan = self.order(order, seed)

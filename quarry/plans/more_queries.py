@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import aggregates as A
 from quarry.operators import joins as J
 from quarry.operators import relational as R
 from quarry.operators import windows as W
 from quarry.session import register, table
 from quarry.sources import readers, tables
 from quarry.sql import sql
+from quarry.storage import written
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -93,6 +98,47 @@ def dml_columns(s, d):
     return _nations(s, d).add_column("note", "string").update({"note": F.lit("low")}, F.col("k") < 3).delete(F.col("k") == 7).read()
 
 
+@query("dml_returning", "SELECT 'insert' AS kind, n_nationkey + 100 AS k, n_name AS v FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'update', n_nationkey, lower(n_name) FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'delete', n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END FROM nation WHERE n_nationkey BETWEEN 10 AND 20 UNION ALL SELECT 'upsert', n_nationkey, 'new' FROM nation WHERE n_nationkey < 5 UNION ALL SELECT 'ignore', n_nationkey + 200, n_name FROM nation WHERE n_nationkey < 2")
+def dml_returning(s, d):
+    k, v, nation = F.col("n_nationkey"), F.col("n_name"), t(s, d, "nation")
+    steps = {
+        "insert": lambda x: x.insert(nation.filter("n_regionkey = 1").select((k + 100).alias("k"), v.alias("v"))),
+        "update": lambda x: x.update({"v": F.lower("v")}, (F.col("k") % 3 == 0) & (F.col("k") < 100)),
+        "delete": lambda x: x.delete(F.col("k").between(10, 20)),
+        "upsert": lambda x: x.upsert(nation.filter("n_nationkey < 5").select(k.alias("k"), F.lit("new").alias("v")), ["k"]),
+        "ignore": lambda x: x.upsert(nation.filter("n_nationkey < 2").select(F.explode(F.array(k, k + 200)).alias("k"), v.alias("v")), ["k"], "ignore"),
+    }
+    now, out = _nations(s, d), []
+    for kind, step in steps.items():
+        out.append(step(now).returned.select(F.lit(kind).alias("kind"), "k", "v"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("dml_generated", "SELECT k, v, CAST(k * 10 + length(v) AS BIGINT) AS g FROM (SELECT n_nationkey AS k, CASE WHEN n_nationkey < 5 THEN n_name || '!' ELSE n_name END AS v FROM nation UNION ALL SELECT s_suppkey + 1000, s_name FROM supplier)")
+def dml_generated(s, d):
+    made = tables.StoredTable(s, tables.scratch(s, "table"), generated={"g": (F.col("k") * 10 + F.length("v")).cast("long")})
+    made.create(t(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("v")))
+    made.insert(t(s, d, "supplier").select((F.col("s_suppkey") + 1000).alias("k"), F.col("s_name").alias("v")))
+    return made.update({"v": F.concat("v", F.lit("!"))}, F.col("k") < 5).read()
+
+
+@query("dml_sequence", "SELECT s_suppkey, 100 + 5 * (row_number() OVER (ORDER BY s_suppkey) - 1 + (SELECT count(*) FROM nation)) AS id FROM supplier")
+def dml_sequence(s, d):
+    numbers = tables.Sequence(s, tables.scratch(s, "sequence"), start=100, step=5)
+    numbers.nextval(t(s, d, "nation"), ["n_nationkey"], "id")
+    return numbers.nextval(t(s, d, "supplier").select("s_suppkey"), ["s_suppkey"], "id")
+
+
+@query("agg_states", "SELECT o_orderpriority, count(o_custkey) AS n, sum(o_custkey) AS s, round(avg(o_totalprice), 4) AS a, min(o_orderdate) AS lo, max(o_totalprice) AS hi, bool_or(o_totalprice > 400000) AS some, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY o_orderpriority")
+def agg_states(s, d):
+    """Daily states, written as a roll-up and combined over the days."""
+    of = {"n": ("count", "o_custkey"), "s": ("sum", "o_custkey"), "a": ("avg", "o_totalprice"), "lo": ("min", "o_orderdate"), "hi": ("max", "o_totalprice"), "some": ("bool_or", F.col("o_totalprice") > 400000), "kinds": ("approx_count_distinct", "o_orderstatus")}
+    daily = t(s, d, "orders").groupBy("o_orderpriority", "o_orderdate").agg(*[A.export_state(f, x).alias(c) for c, (f, x) in of.items()])
+    all_ = written(daily, "states").groupBy("o_orderpriority").agg(*[A.combine_states(f, c).alias(c) for c, (f, _) in of.items()])
+    done = {c: A.finish_state(f, c) for c, (f, _) in of.items()}
+    return all_.select("o_orderpriority", *[(F.round(v, 4) if c == "a" else v).alias(c) for c, v in done.items()])
+
+
 @query("source_footers", "SELECT 25 AS num_rows, 'name,key' AS columns")
 def source_footers(s, d):
     out = tables.copy_to(t(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key")).coalesce(1), tables.scratch(s, "footers"))

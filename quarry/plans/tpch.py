@@ -91,7 +91,7 @@ def q5(s, d):
     return _q5(s, d, TransferMode.NONE)
 
 
-for _m in (TransferMode.BLOOM_JOIN, TransferMode.PT, TransferMode.RPT):
+for _m in (TransferMode.BLOOM_JOIN, TransferMode.PT, TransferMode.RPT, TransferMode.RPT_RANDOM_ROOT):
     query(f"transfer_{_m.value}_q3", _Q3)(lambda s, d, m=_m: _q3(s, d, m))
     query(f"transfer_{_m.value}_q5", _Q5)(lambda s, d, m=_m: _q5(s, d, m))
 for _o in (JoinOrder.LEFT_DEEP, JoinOrder.RANDOM_LEFT_DEEP, JoinOrder.RANDOM_BUSHY):

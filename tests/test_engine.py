@@ -193,6 +193,74 @@ def test_stored_table_keeps_keys_and_versions(spark, tmp_path):
     assert t.read().count() == 0 and t.drop_column("v").read().columns == ["k"]
 
 
+def test_stored_table_references_generates_and_returns(spark, tmp_path):
+    from quarry.sources.tables import StoredTable
+
+    rows = lambda *x: spark.createDataFrame(list(x), "k int, p int")
+    parents = StoredTable(spark, f"file://{tmp_path}/p").create(spark.createDataFrame([(1,), (2,)], "id int"))
+    t = StoredTable(spark, f"file://{tmp_path}/t", generated={"g": F.col("k") + F.col("p")}, references=[(["p"], parents, ["id"])]).create(rows((1, 1), (2, None)))
+    for bad in (lambda: t.insert(rows((3, 9))), lambda: t.update({"p": F.lit(7)}), lambda: t.upsert(rows((1, 5)), ["k"])):
+        with pytest.raises(ValueError, match="references"):
+            bad()
+    with pytest.raises(ValueError, match="generated"):
+        t.update({"g": F.lit(1)})
+    assert t.version() == 0
+    got = lambda: sorted(map(tuple, t.returned.collect()), key=str)
+    t.insert(rows((3, 2)))
+    inserted = t.returned
+    assert got() == [(3, 2, 5)]
+    t.update({"p": F.lit(2)}, F.col("k") == 1)
+    assert got() == [(1, 2, 3)]
+    t.delete(F.col("k") >= 2)
+    assert got() == [(2, None, None), (3, 2, 5)]
+    t.upsert(rows((1, 1), (8, None)), ["k"])
+    assert got() == [(1, 1, 2), (8, None, None)]
+    t.truncate()
+    assert t.read().count() == 0 and [tuple(r) for r in inserted.collect()] == [(3, 2, 5)]
+    assert t.delete(F.lit(True)).returned.count() == 0
+
+
+def test_sequences_never_repeat(spark, tmp_path):
+    from quarry.sources.tables import Sequence
+
+    a, b = (Sequence(spark, f"file://{tmp_path}/s", 10, -2) for _ in range(2))
+    with pytest.raises(ValueError, match="no value"):
+        a.currval()
+    got = [a.take(3), b.take(1), a.take(2)]
+    assert got == [10, 4, 2] and b.currval() == 0
+    rows = a.nextval(spark.range(5).repartition(3), ["id"], "n")
+    assert sorted(map(tuple, rows.collect())) == [(i, -2 - 2 * i) for i in range(5)]
+    assert a.nextval(spark.range(0), ["id"], "n").count() == 0 and a.currval() == -10
+
+
+def test_aggregate_states(spark):
+    from quarry.operators import aggregates as A
+
+    df = spark.createDataFrame([(1, 1, 3), (1, 2, None), (1, 2, 5), (2, 1, None), (2, 3, None)], "g int, d int, x int")
+    names = ["count", "sum", "avg", "min", "max", "approx_count_distinct"]
+    days = df.groupBy("g", "d").agg(*[A.export_state(n, "x").alias(n) for n in names])
+    days = days.unionByName(days.filter("g = 1 and d = 1").select(F.lit(3).alias("g"), "d", *[F.when(F.lit(False), F.col(n)).alias(n) for n in names]))
+    out = days.groupBy("g").agg(*[A.combine_states(n, n).alias(n) for n in names]).select("g", *[A.finish_state(n, n).alias(n) for n in names])
+    assert sorted(map(tuple, out.collect())) == [(1, 2, 8, 4.0, 3, 5, 2), (2, 0, None, None, None, None, 0), (3, 0, None, None, None, None, 0)]
+    with pytest.raises(ValueError, match="no state"):
+        A.export_state("median", "x")
+
+
+def test_random_roots_span_every_part():
+    from quarry.operators.transfer import JoinGraph, TransferMode
+
+    g = JoinGraph()
+    for n, rows in (("a", 9), ("b", 5), ("c", 3), ("d", 1), ("x", 2), ("y", 4)):
+        g.add(n, None, rows)
+    g.join("a", "b", "k").join("b", "c", "l").join("c", "d", "m").join("x", "y", "z")
+    seen = set()
+    for seed in range(20):
+        steps = [(s.source, s.target) for s in g.schedule(TransferMode.RPT_RANDOM_ROOT, seed)]
+        assert len(steps) == 8 and {n for s in steps for n in s} == set(g.relations)
+        seen.add(tuple(steps))
+    assert len(seen) > 1 and steps == [(s.source, s.target) for s in g.schedule(TransferMode.RPT_RANDOM_ROOT, 19)]
+
+
 def test_sql_answers_or_refuses(spark):
     from quarry.sql import sql
 
