@@ -139,6 +139,22 @@ def agg_states(s, d):
     return all_.select("o_orderpriority", *[(F.round(v, 4) if c == "a" else v).alias(c) for c, v in done.items()])
 
 
+@query("sql_copy", "SELECT n_nationkey AS k, lower(n_name) AS v, n_regionkey AS r FROM nation UNION ALL SELECT -1, 'rows', count(*)::INTEGER FROM nation")
+def sql_copy(s, d):
+    register(s, d, "nation")
+    path = tables.scratch(s, "copied")
+    n = sql(s, f"COPY (FROM nation SELECT n_nationkey::INTEGER AS k, n_name.lower() AS v, n_regionkey::INTEGER AS r) TO '{path}' (FORMAT csv, DELIMITER '|', PARTITION_BY (r))")
+    back = readers.read_csv(s, path, delim="|")
+    return back.select(F.col("k").cast("int").alias("k"), "v", F.col("r").cast("int").alias("r")).unionByName(n.select(F.lit(-1).alias("k"), F.lit("rows").alias("v"), F.col("Count").cast("int").alias("r")))
+
+
+@query("sql_create_as", "SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY ALL HAVING count(*) > 2")
+def sql_create_as(s, d):
+    register(s, d, "customer")
+    sql(s, "CREATE OR REPLACE TEMPORARY VIEW quarry_counts AS FROM customer SELECT c_nationkey AS k, count(*) AS n WHERE c_acctbal > 0 GROUP BY ALL")
+    return sql(s, "FROM quarry_counts WHERE n > 2")
+
+
 @query("source_footers", "SELECT 25 AS num_rows, 'name,key' AS columns")
 def source_footers(s, d):
     out = tables.copy_to(t(s, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key")).coalesce(1), tables.scratch(s, "footers"))

@@ -261,6 +261,30 @@ def test_random_roots_span_every_part():
     assert len(seen) > 1 and steps == [(s.source, s.target) for s in g.schedule(TransferMode.RPT_RANDOM_ROOT, 19)]
 
 
+def test_statements_around_queries(spark, tmp_path):
+    from quarry.sql import sql
+
+    out, back = f"file://{tmp_path}/out", f"file://{tmp_path}/back"
+    spark.createDataFrame([(1, "a|b", None), (2, "it's", 2.5), (3, "", 0.0)], "k int, v string, w double").createOrReplaceTempView("copied")
+    assert sql(spark, f"COPY (FROM copied WHERE k::BIGINT < 3) TO '{out}' (FORMAT csv, DELIMITER '|')").collect() == [(2,)]
+    with pytest.raises(Exception, match="exist"):
+        sql(spark, f"COPY copied TO '{out}' (FORMAT csv)")
+    sql(spark, "DROP TABLE IF EXISTS taken")
+    sql(spark, f"CREATE TABLE taken USING parquet LOCATION '{back}' AS FROM copied SELECT k, v, w WHERE k ** 2 > 100")
+    try:
+        assert sql(spark, f"COPY taken FROM '{out}' (FORMAT csv, DELIMITER '|')").first()["Count"] == 2
+        assert sql(spark, "INSERT INTO taken FROM copied SELECT k * 10, v.upper(), w WHERE k = 2").collect() == []
+        assert sorted(map(tuple, spark.table("taken").collect()), key=str) == [(1, "a|b", None), (2, "it's", 2.5), (20, "IT'S", 2.5)]
+        assert sql(spark, f"COPY taken (k, v) TO '{out}' (FORMAT parquet, OVERWRITE true, COMPRESSION zstd)").first()["Count"] == 3
+        assert spark.read.parquet(out).columns == ["k", "v"]
+        assert "Filter" in sql(spark, "EXPLAIN FROM copied WHERE k = 1").first()[0]
+    finally:
+        sql(spark, "DROP TABLE taken")
+    for bad in (f"COPY copied TO '{out}2' (FORMAT csv, NO_SUCH 1)", f"COPY copied TO '{out}2.xlsx'", "COPY copied"):
+        with pytest.raises(ValueError, match="COPY"):
+            sql(spark, bad)
+
+
 def test_sql_answers_or_refuses(spark):
     from quarry.sql import sql
 
