@@ -19,7 +19,8 @@ of the plan that uses them: the driver starts no job for a step, and equal subqu
 
 Relations are sized by their rows after their own filters, counted once for each plan (a scan of the
 filters' columns); beyond COUNT_BYTES, where filters have their greatest size anyhow, by their bytes.
-A relation that nothing has filtered, neither its plan nor a step before, reduces no other: on
+The left-deep order is the one of the fewest estimated rows in between, by those counts and the distinct
+keys of each edge. A relation that nothing has filtered, neither its plan nor a step before, reduces no other: on
 foreign keys it could not.
 """
 
@@ -35,7 +36,10 @@ from pyspark.sql import functions as F
 BITS_PER_KEY, LEAST_BITS, MOST_BITS, COUNT_BYTES = 8, 512, 1 << 26, 4 << 30
 #: A relation of fewer rows is not worth a filter that only its own joins would use.
 LEAST_TARGET = 10_000
+#: Sets of joined relations that the search for a left-deep order keeps of each size, the cheapest ones.
+MOST_SETS = 1000
 _ROWS: dict[int, float] = {}
+_DISTINCT: dict[tuple, float | None] = {}
 
 
 class TransferMode(Enum):
@@ -158,8 +162,10 @@ class JoinGraph:
     def order(self, how: JoinOrder, seed: int = 0) -> list[str] | tuple:
         """Names in a left-deep order, or a nested pair for a bushy one. Orders never hold a cross join
         within a connected graph."""
+        if how is JoinOrder.LEFT_DEEP:
+            return self._left_deep()
         rng = random.Random(seed)
-        near = {n: {e.other(n) for e in self.edges if n in (e.left, e.right)} for n in self.relations}
+        near = self._near()
         if how is JoinOrder.RANDOM_BUSHY:
             parts: list[tuple[set, object]] = [({n}, n) for n in sorted(self.relations)]
             while len(parts) > 1:
@@ -168,14 +174,51 @@ class JoinGraph:
                 joined = (parts[i][0] | parts[j][0], (parts[i][1], parts[j][1]))
                 parts = [p for k, p in enumerate(parts) if k not in (i, j)] + [joined]
             return parts[0][1]
-        names = sorted(self.relations, key=self._size, reverse=how is JoinOrder.LEFT_DEEP)
-        out = [rng.choice(names) if how is JoinOrder.RANDOM_LEFT_DEEP else names[0]]
+        names = sorted(self.relations, key=self._size)
+        out = [rng.choice(names)]
         while len(out) < len(names):
             left = [n for n in names if n not in out]
-            reach = [n for n in left if near[n] & set(out)] or left
-            out.append(rng.choice(reach) if how is JoinOrder.RANDOM_LEFT_DEEP else reach[-1])
+            out.append(rng.choice([n for n in left if near[n] & set(out)] or left))
         return out
 
+    def _near(self) -> dict[str, set[str]]:
+        return {n: {e.other(n) for e in self.edges if n in (e.left, e.right)} for n in self.relations}
+
+    def _left_deep(self) -> list[str]:
+        """The order whose joins give the fewest rows in all, the larger relation first. A join gives the product of
+        both sides over the greater distinct count of each edge between them: keys that few values share, as
+        a nation's, meet last or together with others. By dynamic programming over sets of relations."""
+        names, near = sorted(self.relations, key=self._size, reverse=True), self._near()
+        values = self._distinct()
+        level = {frozenset([n]): (0.0, k, self.relations[n].rows, [n]) for k, n in enumerate(names)}
+        for _ in names[1:]:
+            more: dict[frozenset, tuple] = {}
+            for done, (cost, first, rows, order) in sorted(level.items(), key=lambda x: x[1])[:MOST_SETS]:
+                rest = [n for n in names if n not in done]
+                for n in [n for n in rest if near[n] & done] or rest:
+                    share: dict[tuple, float] = {}  # edges on the same keys of n are one condition
+                    for e in self.edges:
+                        if n in (e.left, e.right) and e.other(n) in done:
+                            keys = tuple(e.keys(n))
+                            share[keys] = max(share.get(keys, 1.0), self._most_distinct(e, values))
+                    out = rows * self.relations[n].rows
+                    for x in share.values():
+                        out /= x
+                    found = (cost + out, first, out, [*order, n])
+                    more[done | {n}] = min(found, more.get(done | {n}, found))
+            level = more
+        return min(level.values())[3] if level else []
+
+    def _most_distinct(self, e: Edge, values: dict[tuple, float | None]) -> float:
+        """The greater distinct count of an edge's sides; of uncounted sides, the fewer rows."""
+        known = [x for n in (e.left, e.right) if (x := values[n, tuple(e.keys(n))]) is not None]
+        return max([1.0, *(known or [min(self.relations[n].rows for n in (e.left, e.right))])])
+
+    def _distinct(self) -> dict[tuple, float | None]:
+        """Distinct values, to a few hundredths, of each relation's join keys."""
+        keys = {n: sorted({tuple(e.keys(n)) for e in self.edges if n in (e.left, e.right)}) for n in self.relations}
+        return {(n, k): x for n, ks in keys.items() for k, x in zip(ks, distinct_keys(self.relations[n].df, ks), strict=True)}
+
     def execute(self, mode: TransferMode = TransferMode.RPT, order: JoinOrder = JoinOrder.CATALYST, seed: int = 0) -> DataFrame:
         """Joins of the reduced relations; all columns, the right side's equal join columns dropped if
         they share a name. Outer, semi and anti edges are taken in the order they were declared, so
@@ -260,6 +303,16 @@ def estimated(df: DataFrame) -> float:
     return _ROWS[key]
 
 
+def distinct_keys(df: DataFrame, keys: list[tuple[str, ...]]) -> list[float | None]:
+    """About how many values each key has, by one scan of the keys for each plan; None where a plan is beyond COUNT_BYTES."""
+    plan = df.semanticHash()
+    if any((plan, k) not in _DISTINCT for k in keys):
+        small = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= COUNT_BYTES
+        found = df.agg(*[F.approx_count_distinct(_key([F.col(c) for c in k])) for k in keys]).first() if small else [None] * len(keys)
+        _DISTINCT.update({(plan, k): x if x is None else float(x) for k, x in zip(keys, found, strict=True)})
+    return [_DISTINCT[plan, k] for k in keys]
+
+
 def _key(columns: list[Column]) -> Column:
     return F.xxhash64(*columns)
 

@@ -72,6 +72,47 @@ def test_transfer_schedule_points_to_the_largest(spark):
     assert [(s.source, s.target) for s in g.schedule(TransferMode.BLOOM_JOIN)] == [("sub", "dim"), ("dim", "fact")]
 
 
+@pytest.mark.parametrize("counted", [True, False])
+def test_left_deep_order_joins_shared_keys_late(spark, monkeypatch, counted):
+    """A cyclic graph whose smallest reachable relation meets the others by a key of five values."""
+    from quarry.operators import transfer as T
+
+    l = spark.range(4000).selectExpr("id % 1000 as lo", "id % 40 as ls")  # noqa: E741
+    o = spark.range(1000).selectExpr("id as oo", "(id * 7) % 300 as oc")
+    c = spark.range(300).selectExpr("id as cc", "id % 5 as cn")
+    s = spark.range(40).selectExpr("id as ss", "(id * 3) % 5 as sn")
+    n = spark.range(5).selectExpr("id as nn")
+    g = T.JoinGraph().add("l", l, 4000).add("o", o, 1000).add("c", c, 300).add("s", s, 40).add("n", n, 5)
+    g.join("l", "o", ("lo", "oo")).join("o", "c", ("oc", "cc")).join("l", "s", ("ls", "ss")).join("c", "s", ("cn", "sn")).join("s", "n", ("sn", "nn"))
+    if not counted:  # relations too large to count
+        monkeypatch.setattr(T, "COUNT_BYTES", -1)
+        monkeypatch.setattr(T, "_DISTINCT", {})
+        assert set(g._distinct().values()) == {None}
+    order = g.order(T.JoinOrder.LEFT_DEEP)
+    assert sorted(order) == sorted(g.relations)
+    now = {name: r.df for name, r in g.relations.items()}
+    tree = order[0]
+    for name in order[1:]:
+        tree = (tree, name)
+        assert not counted or g._join(tree, now)[1].count() <= 4000, order
+    want = g.execute(T.TransferMode.NONE).count()
+    assert want and g.execute(T.TransferMode.RPT, T.JoinOrder.LEFT_DEEP).count() == want
+
+
+def test_left_deep_order_of_many_and_unconnected_relations(spark):
+    from quarry.operators.transfer import JoinGraph, JoinOrder, TransferMode
+
+    g = JoinGraph()
+    for k in range(14):
+        g.add(f"r{k}", spark.range(4).withColumnRenamed("id", f"k{k}"), 4 + k)
+    for k in range(1, 14):
+        g.join("r0", f"r{k}", ("k0", f"k{k}"))
+    assert sorted(g.order(JoinOrder.LEFT_DEEP)) == sorted(g.relations)
+    two = JoinGraph().add("a", spark.range(3).withColumnRenamed("id", "a")).add("b", spark.range(2).withColumnRenamed("id", "b"))
+    assert two.execute(TransferMode.NONE, JoinOrder.LEFT_DEEP).count() == 6
+    assert two.order(JoinOrder.LEFT_DEEP) == ["a", "b"]
+
+
 def test_asof_with_nulls_ties_and_empty_sides(spark):
     from quarry.operators.joins import asof_join
 
